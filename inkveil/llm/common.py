@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once by the numpy code, in bytes (a longer document is handled alone).
 CHUNK_BYTES = 2 << 20
@@ -32,9 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Rows of an Arrow batch: documents can be long, and a batch is held whole by a Python worker.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whose Python workers import it by name."""
+    """Send this package to the executors, whose Python workers import it by name, and bound the
+    batches they get (unless the session's own setting is lower)."""
     sc = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     if not getattr(sc, "_inkveil_shipped", False):
         root = Path(__file__).resolve().parents[2]
         name = Path(tempfile.mkdtemp(prefix="inkveil-zip-")) / "inkveil.zip"
@@ -73,6 +82,64 @@ def release_staged() -> None:
         delete_path(spark, path)
 
 
+#: Bits and hashes of a filter over identifiers: a fixed size, whatever the input.
+FILTER_BITS, FILTER_HASHES = 1 << 23, 4
+
+
+def _probe(ids: np.ndarray) -> np.ndarray:
+    """FILTER_HASHES bit places for each identifier."""
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return np.stack([(a + np.uint64(i) * b) % np.uint64(FILTER_BITS) for i in range(FILTER_HASHES)], 1).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bloom filter over a column of identifiers; the driver gets at most FILTER_BITS / 64 words."""
+
+    def places(batches):
+        for batch in batches:
+            p = np.unique(_probe(batch.column(0).drop_null().to_numpy(zero_copy_only=False)).ravel())
+            with np.errstate(over="ignore"):
+                yield pa.RecordBatch.from_arrays([pa.array((p >> 6).astype(np.int32)), pa.array((np.uint64(1) << (p & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+    words = ids.mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def may_have(words: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Which identifiers the filter does not rule out; never null ones."""
+    p = _probe(ids.fill_null(0).to_numpy(zero_copy_only=False))
+    with np.errstate(over="ignore"):
+        return ((words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1) & np.asarray(ids.is_valid())
+
+
+def split_by_filter(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows that are not in ``ids``, rows that may be): two narrow scans, so that a join with
+    ``ids`` shuffles few of the documents."""
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    at = docs.columns.index(id_col)
+
+    def scan(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                ok = may_have(held.value, batch.column(at).cast(pa.int64()))
+                yield batch.filter(pa.array(ok if wanted else ~ok))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return scan(False), scan(True)
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose identifier is not in the one column of ``ids``."""
+    clear, maybe = split_by_filter(docs, ids, id_col)
+    gone = ids.select(F.col(ids.columns[0]).alias("__gone")).distinct()
+    return clear.unionByName(maybe.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti"))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column; null counts as empty."""
     if column.null_count:

@@ -19,16 +19,14 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, stage
+from .common import drop_ids, id_filter, may_have, stage
 
 #: A memtable is flushed at so many bytes of text or identifiers.
 MEMTABLE_BYTES, MEMTABLE_IDS = 16 << 20, 50_000
-FILTER_BITS, FILTER_HASHES = 1 << 23, 4
 
 _RUNS = "run string, digest binary, ids array<long>, best long, n long"
 
@@ -73,45 +71,14 @@ def build_runs(docs: DataFrame, keep: str = "min", digest_bytes: int = 32) -> Da
     return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(fill, _RUNS), "runs")
 
 
-def _probe(ids: np.ndarray) -> np.ndarray:
-    """FILTER_HASHES bit places for each identifier."""
-    h = mix(ids.astype(np.int64).view(np.uint64))
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        return np.stack([(a + np.uint64(i) * b) % np.uint64(FILTER_BITS) for i in range(FILTER_HASHES)], 1).astype(np.int64)
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """Bloom filter over one column of identifiers: FILTER_BITS bits whatever the input, so the
-    driver gets at most FILTER_BITS / 64 words."""
-
-    def places(batches):
-        for batch in batches:
-            p = np.unique(_probe(batch.column(0).drop_null().to_numpy(zero_copy_only=False)).ravel())
-            with np.errstate(over="ignore"):
-                yield pa.RecordBatch.from_arrays([pa.array((p >> 6).astype(np.int32)), pa.array((np.uint64(1) << (p & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
-
-    words = ids.mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text normalised) of the documents whose identifiers are in ``ids``: rows that the
     filter rules out never leave the scan."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(id_filter(ids))
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def scan(batches):
-        words = held.value
         for batch in batches:
-            d = batch.column(0)
-            ok = np.asarray(d.is_valid())
-            p = _probe(d.fill_null(0).to_numpy(zero_copy_only=False))
-            with np.errstate(over="ignore"):
-                ok &= ((words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
-            batch = batch.filter(pa.array(ok))
+            batch = batch.filter(pa.array(may_have(held.value, batch.column(0))))
             text = [normalise(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary())], ["doc_id", "body"])
 
@@ -145,6 +112,28 @@ def dedup(docs: DataFrame, keep: str = "min", digest_bytes: int = 32) -> DataFra
     )
 
 
+def remove(docs: DataFrame, keep: str = "min") -> DataFrame:
+    """The rows of ``docs`` that stay, all their columns as they were.
+
+    Rows are dropped by identifier; only where an identifier is null or repeats are rows told apart
+    by their text.
+    """
+    decided = stage(dedup(docs, keep), "decisions")
+    by_id = decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay"))
+    odd = stage(by_id.where("doc_id is null or (n > 1 and stay < n)").select("doc_id"), "odd-identifiers")
+    out = drop_ids(docs.where("doc_id is not null"), by_id.where("stay < n").select("doc_id"))
+    if odd.isEmpty():
+        return out
+    key = F.col("doc_id").cast("long")
+    some = docs.join(odd.withColumnRenamed("doc_id", "__odd"), key.eqNullSafe(F.col("__odd"))).drop("__odd")
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    some = some.withColumn("__digest", F.unhex(F.sha2(low.cast("binary"), 256)))
+    some = some.withColumn("__at", F.row_number().over(Window.partitionBy(key, "__digest").orderBy(F.lit(0))))
+    stay = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    some = some.where("__at = 1").join(stay, key.eqNullSafe(F.col("__id")) & some["__digest"].eqNullSafe(stay["__digest"]), "left_semi")
+    return out.unionByName(some.select(*docs.columns))
+
+
 class Index:
     """A compacted index that further batches are looked up in: filter, then digest, then bytes."""
 

@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import bisect
 import struct
+import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -164,7 +166,7 @@ def open_table(path: str) -> Reader:
 
 _encoders: dict = {}
 #: Entries of a worker's caches; a full cache is emptied, which costs time and changes no result.
-CACHE = 400_000
+CACHE = 250_000
 _PLAIN = 0x250
 
 
@@ -184,6 +186,7 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
@@ -192,13 +195,13 @@ class WordEncoder:
         self.runs: dict[str, bytes] = {}
 
     def pack(self, ids) -> bytes:
-        return np.asarray(ids, f"<u{self.width}").tobytes()
+        return array(self.code, ids).tobytes()
 
     def run(self, piece: str) -> bytes:
         if (ids := self.runs.get(piece)) is None:
             if len(self.runs) >= CACHE:
                 self.runs.clear()
-            shown = piece.encode().decode("latin-1").translate(self.shown)
+            shown = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.shown)
             ids = self.runs[piece] = self.pack([t.id for t in self.model.tokenize(shown)])
         return ids
 
@@ -206,7 +209,12 @@ class WordEncoder:
         text = raw.decode()
         if "<|" in text or max(text) >= chr(_PLAIN) or len(text) > 200:
             return self.pack(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.run, self.pattern.findall(text.lower())))
+        text = text.lower()
+        if text.isalpha():  # letters only: one match of the pattern
+            return self.run(text)
+        if text[:-1].isalpha() and text[-1] in ".,;:!?":
+            return self.run(text[:-1]) + self.run(text[-1])
+        return b"".join(map(self.run, self.pattern.findall(text)))
 
     def text(self, raw: bytes) -> bytes:
         words, known = raw.split(), self.words
@@ -276,8 +284,6 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, n_shards:
                 if s != shard:
                     if now:
                         finish()
-                    import uuid
-
                     shard, name = s, f"shard-{s:06d}.sst"
                     part, whole = f"{root}/.{name}.{uuid.uuid4().hex}", f"{root}/{name}"
                     fs.create_dir(root, recursive=True)
@@ -292,11 +298,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, n_shards:
     return stage(dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.length("ids"), "ids").mapInArrow(files, "shard int, path string, n_docs long, n_tokens long"), "sst-files")
 
 
-def read(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Read the shards back: (doc_id, start, n_tokens, ids_crc32, ids array<int>).
+def read(spark: SparkSession, files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Read the shards back: (doc_id, start, n_tokens, ids_crc32, ids array<int> if ``with_ids``).
 
     ``files``: what ``write`` returned.  It has a row a file, so the running totals over it are
-    small whatever the corpus; each file is then read by one task.
+    small whatever the corpus; each file is then read by one task, block by block.
     """
     rows = sorted(files.collect())
     base, todo = 0, []
@@ -309,19 +315,25 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 table = open_table(path)
                 for i in range(len(table.index)):
-                    out = [[], [], [], [], []]
+                    out = [[], [], [], []]
+                    packed = []
                     for key, value in table.block(i):
                         ids = np.frombuffer(value, f"<u{table.width}").astype("<u4")
-                        for c, x in zip(out, (id_of(key), start, len(ids), zlib.crc32(ids.tobytes()), ids), strict=True):
+                        for c, x in zip(out, (id_of(key), start, len(ids), zlib.crc32(ids)), strict=True):
                             c.append(x)
+                        if with_ids:
+                            packed.append(ids)
                         start += len(ids)
-                    ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(out[2])]).astype(np.int32), pa.array(np.concatenate(out[4]).astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), ids], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    cols = [pa.array(c, pa.int64()) for c in out]
+                    if with_ids:
+                        cols.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(out[2])]).astype(np.int32), pa.array(np.concatenate(packed).astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays(cols, names[: len(cols)])
 
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
     todo_df = spark.createDataFrame(todo, "path string, start long")
     if todo:
         todo_df = todo_df.repartition(len(todo))
-    return todo_df.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return todo_df.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
 def lookup(files: DataFrame, doc_ids: list[int]) -> dict[int, list[np.ndarray]]:
