@@ -32,6 +32,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -46,7 +47,7 @@ DICTIONARY = 1 << 17
 #: Characters of a word that the bit mask holds; longer ones are folded in their task.
 MASK = 60
 #: Entries of a worker's caches; a full cache is emptied.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class Model:
@@ -75,6 +76,33 @@ class Model:
         for b, i in enumerate(self.bytes):
             self.raw[i] = bytes([b])
 
+        sizes = np.array([len(x) for x in self.raw], np.int64)
+        self.sizes, self.starts = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+
+    def cut(self, text: str) -> list[str]:
+        """The words of a text, without the U+2581 in front where that is the only one: a text
+        whose spaces stand alone is simply split at them."""
+        if not text:
+            return []
+        if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [w[1:] if w[:1] == SPACE and w[1:2] != SPACE and len(w) > 1 else "\0" + w for w in self.words.findall(normalise(text))]
+
+    @staticmethod
+    def whole(word: str) -> str:
+        """The word as the lattice has it; a leading NUL marks one that is kept as it is."""
+        return word[1:] if word[:1] == "\0" else SPACE + word
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of a batch: ``counts`` ids each."""
+        n = self.sizes[ids]
+        ends = np.cumsum(n)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - n), n)
+        raw = self.flat[place].tobytes()
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [raw[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(edges, edges[1:], strict=False)]
+
     def parts(self, word: str) -> list[str]:
         """A word cut where no piece can reach across."""
         out, start, pairs = [], 0, self.pairs
@@ -257,8 +285,9 @@ def frequent_words(docs: DataFrame, path: str, limit: int = DICTIONARY) -> DataF
         def flush():
             parts: Counter = Counter()
             for w, n in held.items():
-                for p in m.parts(w):
-                    parts[p] += n
+                if n > 1:
+                    for p in m.parts(m.whole(w)):
+                        parts[p] += n
             rows = [(p, n) for p, n in parts.items() if n > 1 and len(p) <= MASK]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
@@ -269,7 +298,7 @@ def frequent_words(docs: DataFrame, path: str, limit: int = DICTIONARY) -> DataF
             for i, j in chunks(offsets):
                 for t in texts[i:j]:
                     if t:
-                        held.update(m.words.findall(normalise(t)))
+                        held.update(m.cut(t))
                 if len(held) > CACHE:
                     yield flush()
         yield flush()
@@ -288,10 +317,12 @@ def dictionary(docs: DataFrame, path: str, limit: int = DICTIONARY) -> dict[str,
 # ---------------------------------------------------------------- documents
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), limit: int = DICTIONARY) -> DataFrame:
-    """The ``keep`` columns, n_pieces, ids (array<int>), ids_crc32 (of the ids as little-endian
-    unsigned 32-bit integers) and text_crc32 (of the text's UTF-8 bytes); no shuffle of documents."""
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), limit: int = DICTIONARY, with_ids: bool = True) -> DataFrame:
+    """The ``keep`` columns, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit
+    integers), decoded_chars and lossless (the ids, decoded, hold the text), and ids (array<int>)
+    if ``with_ids``; no shuffle of documents."""
     held = docs.sparkSession.sparkContext.broadcast(dictionary(docs, path, limit))
+    names = [*keep, "n_pieces", "ids_crc32", "decoded_chars", "lossless", *(["ids"] if with_ids else [])]
 
     def run(batches):
         m, known = model(path), held.value
@@ -300,24 +331,24 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), limi
 
         def word(w: str) -> bytes:
             out = []
-            for p in m.parts(w):
+            for p in m.parts(m.whole(w)):
                 ids = known.get(p)
                 if ids is None and (ids := rare.get(p)) is None:
-                    ids = rare[p] = np.array(m.fold(p), "<u4").tobytes()
+                    ids = rare[p] = array("i", m.fold(p)).tobytes()
                 out.append(ids)
             return b"".join(out)
 
         for batch in batches:
             offsets, _ = text_buffers(batch.column(0))
-            raw = batch.column(0).cast(pa.binary()).to_pylist()
             for i, j in chunks(offsets):
                 if len(words) > CACHE:
                     words.clear()
                 if len(rare) > CACHE:
                     rare.clear()
                 packed = []
-                for t in raw[i:j]:
-                    cut = m.words.findall(normalise((t or b"").decode()))
+                texts = [t or "" for t in batch.column(0).slice(i, j - i).to_pylist()]
+                for t in texts:
+                    cut = m.cut(t)
                     ids = list(map(words.get, cut))
                     if None in ids:
                         for k, x in enumerate(ids):
@@ -327,14 +358,17 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), limi
                                 ids[k] = x
                     packed.append(b"".join(ids))
                 sizes = np.array([len(x) // 4 for x in packed], np.int64)
-                ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                flat = np.frombuffer(b"".join(packed), "<i4")
+                back = m.decode(flat, sizes)
                 cols = [batch.column(k).slice(i, j - i) for k in range(1, batch.num_columns)]
-                crc = [pa.array([zlib.crc32(x or b"") for x in xs], pa.int64()) for xs in (packed, raw[i:j])]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes), ids, *crc], [*keep, "n_pieces", "ids", "ids_crc32", "text_crc32"])
+                cols += [pa.array(sizes), pa.array([zlib.crc32(x) for x in packed], pa.int64()), pa.array([len(x) for x in back], pa.int64()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     own = docs.select(F.col("text"), *keep)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[1:])
-    return own.mapInArrow(run, f"{kinds}n_pieces long, ids array<int>, ids_crc32 long, text_crc32 long")
+    return own.mapInArrow(run, f"{kinds}n_pieces long, ids_crc32 long, decoded_chars long, lossless boolean" + (", ids array<int>" if with_ids else ""))
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
@@ -342,12 +376,10 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), i
 
     def run(batches):
         m = model(path)
-        get = m.raw.__getitem__
         for batch in batches:
-            texts = []
-            for ids in batch.column(0):
-                raw = b"".join(map(get, ids.values.to_pylist() if ids.is_valid else []))
-                texts.append(raw.removeprefix(b" ").decode("utf-8", "replace"))
+            column = batch.column(0)
+            counts = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
+            texts = m.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1, batch.num_columns)), pa.array(texts, pa.string())], [*keep, "text"])
 
     own = encoded.select(F.col(ids_col), *keep)
