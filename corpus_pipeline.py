@@ -14,7 +14,6 @@ columns of documents; the last returns the encoded corpus.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkveil.llm import decontam, dedup_lsm, langid, simhash
 from inkveil.llm import sentencepiece_lattice as lattice
@@ -46,10 +45,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release_staged()
     path = tokenizer_path("piece_bpe_32k.model")
-    own = ("doc_id", "lang", "source")
-    encoded = lattice.encode(docs, path, keep=own)
-    decoded = lattice.decode(encoded, path, keep=(*own, "n_pieces", "ids", "ids_crc32", "text_crc32"))
-    return decoded.select(*own, "n_pieces", "ids_crc32", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("lossless"), "ids")
+    return lattice.encode(docs, path, keep=("doc_id", "lang", "source"))
 
 
 STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("benchmark", benchmark), ("pieces", pieces)]
