@@ -129,7 +129,7 @@ def statistics(training: DataFrame) -> tuple[int, np.ndarray, list[tuple[str, in
     sample: dict[str, list] = {}
     for r in found.where("lang is not null").select("lang", "fold", "own", "counts").collect():
         sample.setdefault(r["lang"], []).append((r["lang"], r["fold"], r["own"], r["counts"]))
-    return total, df, [(k, f, np.array(o), np.array(c)) for rows in sample.values() for k, f, o, c in sorted(rows)[: 2 * SAMPLE]]
+    return total, df, [(k, f, np.array(o, np.int64), np.array(c, np.int64)) for rows in sample.values() for k, f, o, c in sorted(rows)[: 2 * SAMPLE]]
 
 
 def ftrl(sample, idf: np.ndarray, languages: list[str], alpha=0.3, beta=1.0, l1=0.003, l2=0.1, epochs=3, seed=5):

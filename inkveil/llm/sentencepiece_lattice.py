@@ -85,9 +85,9 @@ class Model:
         whose spaces stand alone is simply split at them."""
         if not text:
             return []
-        if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+        if "  " not in text and SPACE not in text and "\0" not in text and text[0] != " " and text[-1] != " ":
             return text.split(" ")
-        return [w[1:] if w[:1] == SPACE and w[1:2] != SPACE and len(w) > 1 else "\0" + w for w in self.words.findall(normalise(text))]
+        return [w[1:] if w[:1] == SPACE and w[1:2] not in ("", SPACE, "\0") else "\0" + w for w in self.words.findall(normalise(text))]
 
     @staticmethod
     def whole(word: str) -> str:
