@@ -1,0 +1,195 @@
+"""Expressions against plain Python on odd texts."""
+
+import json
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkveil.functions import catalog as C
+from inkveil.functions.text import lines, matches
+from inkveil.operators import attack, classify, detect, rewrite, routing, score, stats
+from inkveil.plans import corpus as K
+from inkveil.plans import evaluation as E
+from inkveil.sources import io
+
+ODD = ["", "a\r\nb\rc\n", "\n\n", "x\x0by\x0cz\x1cq r", "no break", "émile@exämple.com a@b.co", "10.0.0.1 10.0.0.1;10.0.0.300", "sk-" + "a" * 30 + " AKIA" + "B" * 16, None]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def python_spans(text):
+    out = []
+    for i, p in enumerate(C.PATTERNS):
+        for m in re.finditer(p.regex, text, re.I if p.ignore_case else 0):
+            out.append((m.start(), m.start() - m.end(), i, m.end(), p.name, m[0]))
+    kept, last = [], 0
+    for s in sorted(out):
+        if s[0] >= last:
+            kept.append(s)
+            last = s[3]
+    return kept
+
+
+def test_lines(spark):
+    got = {r[0]: r[1] for r in frame(spark, ODD[:-1]).select("text", lines(F.col("text"))).collect()}
+    assert got == {t: t.splitlines() for t in ODD[:-1]}
+
+
+def test_matches(spark):
+    t = "ab12, 3 and 45"
+    got = frame(spark, [t, ""]).select(matches(F.col("text"), r"\d+")).collect()
+    assert [tuple(x) for x in got[0][0]] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"\d+", t)] and got[1][0] == []
+
+
+def test_spans_like_python(spark):
+    texts = ODD + [x for _, x in K.POSITIVES] + [x for _, x in K.KIND_FIXTURES] + ["mail a@b.com at https://u:pass1@h.corp/x?y and /home/u/x, /etc/z"]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in detect.detect(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == python_spans(t or "")
+        last = 0
+        for s in got[i]:
+            assert s[0] >= last and t[s[0] : s[3]] == s[5]
+            last = s[3]
+
+
+def test_gates_lose_nothing(spark):
+    df = frame(spark, [x for _, x in K.POSITIVES])
+    a, b = (df.select("doc_id", detect.raw_spans(t, gated=g).alias("s")).orderBy("doc_id").collect() for t, g in (("text", True), (F.col("text"), False)))
+    assert a == b
+
+
+def test_high_risk_sets():
+    assert len(C.HIGH_RISK_REWRITE) == 27 and len(C.HIGH_RISK_SCORE) == 34 and len(C.PATTERNS) == 43
+
+
+def test_routes_join_unknown_kinds(spark):
+    df = spark.createDataFrame([("nothing_known",), ("clean_text",)], "artifact_kind string")
+    assert {r[0]: r[1] for r in routing.route(df).collect()} == {"nothing_known": ["SUPPRESS", "ABSTRACT"], "clean_text": []}
+
+
+def test_names_collide_and_move_on(spark, monkeypatch):
+    values = [f"v{i}@example.com" for i in range(900)]
+    df = spark.createDataFrame([(values,)], "v array<string>")
+    pieces = F.transform("v", lambda x: F.struct(F.lit(None).cast("string").alias("lit"), F.lit("EMAIL").alias("type"), x.alias("value")))
+    named = df.select(rewrite.name_slots(pieces, F.lit("s"))).first()[0]
+    assert [x["value"] for x in named] == values
+    assert len({x["name"] for x in named}) == 900
+
+
+def test_generalize_reaches_beyond_spans(spark):
+    df = E.prepare(frame(spark, ["see /home/u/a/b/c.txt now"]))
+    out = E.routed(salt="x")(df).first()["out_text"]
+    assert re.fullmatch(r"see <UNIX_HOME:[0-9a-f]{4}>/…/b/c\.txt now", out)
+
+
+def test_naive_mask_is_idempotent_and_transform_is_stable(spark):
+    df = frame(spark, [x for _, x in K.POSITIVES] + ["", None])
+    once = rewrite.naive_mask(detect.detect(df)).select("doc_id", F.col("masked_text").alias("text"))
+    clean = once.join(detect.detect(once).where(F.size("spans") == 0).select("doc_id"), "doc_id")
+    twice = rewrite.naive_mask(detect.detect(clean)).select("doc_id", "masked_text")
+    assert clean.exceptAll(twice.withColumnRenamed("masked_text", "text")).count() == 0
+
+
+def test_suppressed_values_are_gone(spark):
+    rows = E.routed()(E.prepare(frame(spark, [x for _, x in K.POSITIVES])))
+    assert stats.suppress_guarantee(rows.where(F.array_contains("operators_applied", "SUPPRESS"))).where("not guarantee_holds").count() == 0
+
+
+def test_scores_of_an_untouched_clean_text(spark):
+    r = score.score(E.routed()(E.prepare(frame(spark, ["nothing here at all"])))).first()
+    assert r["privacy_score"] == 1.0 and r["utility_score"] == pytest.approx(1.0) and r["length_ratio"] == 1.0
+
+
+def test_curve_metrics_single_class(spark):
+    one = spark.createDataFrame([(1, 0.2), (1, 0.9)], "label int, score double")
+    assert classify.ranking_metrics(one).first() == (None, None)
+
+
+def test_operating_points_ties(spark):
+    rows = [(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.1)]
+    p = classify.operating_points(spark.createDataFrame(rows, "label int, score double")).first()
+    assert p["best_f1_threshold"] == 0.8 and p["best_f1"] == pytest.approx(0.8) and p["recall_at_95prec"] == 0.5
+
+
+def test_split_is_exact(spark):
+    df = spark.range(200).select("id", (F.col("id") % 2).alias("s"))
+    got = {(r["split"], r["s"]): r["n"] for r in classify.split_distribution(classify.split(df, "id", ["s"]), ["s"]).collect()}
+    assert got == {("test", s): 20 for s in (0, 1)} | {("validation", s): 10 for s in (0, 1)} | {("train", s): 70 for s in (0, 1)}
+
+
+def test_signed_rank_p():
+    assert stats.signed_rank_p(5, 15, 0) == 1 / 32
+    assert stats.signed_rank_p(30, 30 * 31 / 4, 0) == pytest.approx(0.5)
+
+
+def test_erfc(spark):
+    df = spark.createDataFrame([(0.3,), (2.0,), (None,)], "x double")
+    assert [r[0] for r in df.select(stats.erfc("x")).collect()] == [math.erfc(0.3), math.erfc(2.0), None]
+
+
+def test_bootstrap_covers_the_mean(spark):
+    rows = spark.range(400).select(F.col("id"), (F.col("id") % 10 / 10).alias("m"))
+    r = stats.bootstrap(rows, ["m"], 300).first()
+    assert r["ci_lower"] < r["mean"] < r["ci_upper"] and r["ci_upper"] - r["ci_lower"] < 0.1
+
+
+def test_salvage():
+    assert attack.salvage_json('```json\n{"a": 1}\n```') == {"a": 1}
+    assert attack.salvage_json('x {"a": 2}') == {"a": 2}
+    assert attack.salvage_json("nothing") is None and attack.salvage_json(None) is None
+    assert attack.coerce_answer("- one\n- two") == {"primary_issue": "one", "likely_cause": "two", "next_action": ""}
+
+
+def test_judgment(spark):
+    df = spark.createDataFrame([('{"winner": "a", "reason": "r"}',), ("junk",), (None,)], "t string")
+    assert [tuple(r[0]) for r in df.select(attack.judgment(F.col("t"))).collect()] == [("A", "r"), ("TIE", ""), ("TIE", "")]
+
+
+def test_guesses_fit_their_types(spark):
+    kinds = [k for k in C.VALIDATORS if k != "JWT_TOKEN"]
+    df = spark.createDataFrame([(k,) for k in kinds], "k string").withColumn("g", attack.format_guess(F.col("k"), F.xxhash64("k")))
+    assert df.where(~attack.format_match(F.col("k"), F.col("g"))).count() == 0
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    body = {"name": "m", "selected_count": 2, "artifact_counts": {"x": 2}, "records": [{"index": 7, "prompt_text": "a"}, {"index": 9, "prompt_text": "b", "artifact_kind": "k"}]}
+    (tmp_path / "m.json").write_text(json.dumps(body))
+    rows = io.read_manifest(spark, str(tmp_path / "m.json")).orderBy("position").collect()
+    assert [(r["index"], r["artifact_kind"]) for r in rows] == [(7, "unknown"), (9, "k")]
+    assert [r["index"] for r in io.shard(io.read_manifest(spark, str(tmp_path / "m.json")), 1, 2).collect()] == [9]
+
+
+def test_resume_skips_what_is_done(spark, tmp_path):
+    path, todo = f"file://{tmp_path}/out", spark.range(10).withColumnRenamed("id", "index")
+    seen = []
+
+    def work(df):
+        seen.append(df.count())
+        return df.withColumn("x", F.col("index") * 2)
+
+    assert io.resume(todo.where("index < 4"), path, work, guard="h").count() == 4
+    assert io.resume(todo, path, work, guard="h").count() == 10 and seen == [4, 6]
+    with pytest.raises(ValueError):
+        io.resume(todo, path, work, guard="other")
+
+
+def test_stream(spark, tmp_path):
+    from inkveil.streaming import incremental as S
+
+    frame(spark, [x for _, x in K.KIND_FIXTURES]).write.parquet(f"{tmp_path}/in")
+    out = S.sanitize_stream(S.read_stream(spark, f"{tmp_path}/in", "doc_id long, text string")).select("doc_id", "artifact_kind", "out_text")
+    S.write_stream(out, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == len(K.KIND_FIXTURES)
+
+
+def test_cli(spark, tmp_path):
+    from inkveil import cli
+
+    body = {"name": "m", "selected_count": 2, "artifact_counts": {}, "records": [{"index": 1, "prompt_text": "mail a@example.com"}, {"index": 2, "prompt_text": "clean"}]}
+    (tmp_path / "m.json").write_text(json.dumps(body))
+    out = cli.run(spark, ["scan", "--manifest", f"{tmp_path}/m.json", "--output", f"{tmp_path}/o"])
+    assert out.count() == 1 and out.first()["categories"] == ["PII"]
