@@ -88,7 +88,7 @@ def splice(text: Column, spans: Column, replacement: Callable[[Column], Column])
 
 
 def _label(pattern: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in C.LABEL.items() for x in kv])
+    table = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in C.LABEL.items()) + ")")
     return F.coalesce(F.element_at(table, pattern), F.upper(pattern))
 
 

@@ -99,7 +99,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAT}, {DOCS}, {spans_cte()} SELECT doc_id, s::INT AS start, (s + length(t))::INT AS \"end\", name AS pattern, t AS span_text FROM pos")
 def span_detect(spark, sf_dir):
-    docs = K.table(spark, sf_dir, "documents").select("doc_id", detect.raw_spans("text").alias("spans"))
+    docs = K.spread(K.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", detect.raw_spans("text").alias("spans"))
     return detect.explode_spans(docs, ["doc_id"]).drop("span_no")
 
 
@@ -110,7 +110,7 @@ def span_resolve(spark, sf_dir):
 
 @query(f"WITH {PAT}, corpus AS (SELECT page_id AS doc_id, coalesce(html, '') AS text FROM pages), {spans_cte()}, x AS (SELECT unnest(k) AS x FROM kept) SELECT x.name AS pattern, count(*) AS n FROM x GROUP BY x.name")
 def span_by_pattern(spark, sf_dir):
-    pages = detect.detect(K.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
+    pages = detect.detect(K.spread(K.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))))
     return detect.explode_spans(pages, ["page_id"]).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
@@ -153,7 +153,7 @@ def frame_counts(spark, sf_dir):
 
 @query(f"WITH {PAT}, {DOCS}, {spans_cte()}, {masked_cte()} SELECT doc_id, replace(out, '<REDACTED>', '') AS stripped FROM masked")
 def strip_spans(spark, sf_dir):
-    docs = detect.detect(K.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    docs = detect.detect(K.spread(K.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
     return docs.select("doc_id", detect.strip_spans(F.col("text"), F.col("spans")).alias("stripped"))
 
 
@@ -170,7 +170,7 @@ _KEYWORD_HITS = " + ".join(f"regexp_matches(text, {q(k)})::INT" for k in C.KEYWO
 @query(f"SELECT doc_id, (hits > 0)::INT AS pred, round(least(hits / 3.0, 1.0), 6) AS score FROM (SELECT doc_id, {_KEYWORD_HITS} AS hits FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
 def keyword_predict(spark, sf_dir):
     pred, points = detect.keyword_score(F.coalesce("text", F.lit("")))
-    return K.table(spark, sf_dir, "documents").select("doc_id", pred.alias("pred"), F.round(points, 6).alias("score"))
+    return K.spread(K.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", pred.alias("pred"), F.round(points, 6).alias("score"))
 
 
 # ---------------------------------------------------------------- routing
@@ -183,7 +183,7 @@ def artifact_kinds(spark, sf_dir):
 
 @query(f"WITH {PAT}, {DOCS}, {spans_cte()}, {KINDS_CTE} SELECT artifact_kind, count(*) AS n, sum(total_spans)::BIGINT AS spans FROM kinds GROUP BY artifact_kind")
 def artifact_kind_counts(spark, sf_dir):
-    docs = E.prepare(K.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    docs = E.prepare(K.spread(K.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
     return docs.groupBy("artifact_kind").agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("spans"))
 
 
@@ -214,7 +214,7 @@ def operator_specs(spark, sf_dir):
 
 @query(f"WITH {PAT}, {DOCS}, {spans_cte()}, {KINDS_CTE}, {masked_cte()} SELECT m.doc_id, artifact_kind, total_spans::INT AS n_spans, out AS masked_text FROM masked m JOIN kinds USING (doc_id)")
 def naive_mask(spark, sf_dir):
-    docs = E.prepare(K.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    docs = E.prepare(K.spread(K.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
     return rewrite.naive_mask(docs).select("doc_id", "artifact_kind", F.size("spans").alias("n_spans"), "masked_text")
 
 
