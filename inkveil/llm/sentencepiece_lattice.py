@@ -40,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, stage, text_buffers
+from .common import CHUNK_BYTES, chunks, stage, text_buffers
 
 SPACE = "▁"
-DICTIONARY = 1 << 17
+DICTIONARY = 1 << 16
 #: Characters of a word that the bit mask holds; longer ones are folded in their task.
 MASK = 60
 #: Entries of a worker's caches; a full cache is emptied.
-CACHE = 200_000
+CACHE = 100_000
 
 
 class Model:
@@ -299,8 +299,9 @@ def frequent_words(docs: DataFrame, path: str, limit: int = DICTIONARY) -> DataF
                 for t in texts[i:j]:
                     if t:
                         held.update(m.cut(t))
-                if len(held) > CACHE:
+                if len(held) > 2 * CACHE:
                     yield flush()
+            pa.default_memory_pool().release_unused()
         yield flush()
 
     counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -340,7 +341,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), limi
 
         for batch in batches:
             offsets, _ = text_buffers(batch.column(0))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, CHUNK_BYTES // 2):
                 if len(words) > CACHE:
                     words.clear()
                 if len(rare) > CACHE:
@@ -365,6 +366,8 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), limi
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, names)
+                del packed, texts, back, flat, cols
+            pa.default_memory_pool().release_unused()
 
     own = docs.select(F.col("text"), *keep)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[1:])
