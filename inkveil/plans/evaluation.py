@@ -14,7 +14,7 @@ Policy = Callable[[DataFrame], DataFrame]
 
 
 def prepare(df: DataFrame, text: str = "text") -> DataFrame:
-    """Detected and classified rows, computed once for all policies."""
+    """Detected and classified rows."""
     return routing.classify(detect.detect(df, text), text)
 
 
@@ -101,14 +101,18 @@ def ablations(text: str = "text", salt: str = rewrite.DEFAULT_SALT) -> list[Poli
 
 
 def evaluate(df: DataFrame, policies: list[Policy], text: str = "text", kind: str = "artifact_kind") -> DataFrame:
-    """Mean scores by policy, overall and by kind."""
-    return stats.breakdown(score.score(apply(prepare(df, text), policies), text), kind=kind)
+    """Mean scores by policy, overall and by kind.
+
+    Detection is the costly part and every policy needs it, so the prepared rows are persisted
+    (memory and disk) for the policies' branches; ``spark.catalog.clearCache()`` lets go of them.
+    """
+    return stats.breakdown(score.score(apply(prepare(df, text).persist(), policies), text), kind=kind)
 
 
 def report(df: DataFrame, policies: list[Policy], key: str, text: str = "text", replicates: int = 2000, metrics: tuple[str, ...] = ("privacy_score", "utility_score", "pareto_score")) -> dict[str, DataFrame]:
     """The automatic evaluation: breakdown, intervals, paired tests of the first policy against the
-    others, frontier.  ``df`` should be on disk: each figure is a query of its own."""
-    scored = score.score(apply(prepare(df, text), policies), text)
+    others, frontier.  Scored rows are persisted, as each figure is a query of its own."""
+    scored = score.score(apply(prepare(df, text).persist(), policies), text).persist()
     names = [r[0] for r in scored.select("policy").distinct().orderBy("policy").collect()]
     first = "routed" if "routed" in names else names[0]
     tests = None
