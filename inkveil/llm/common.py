@@ -3,6 +3,7 @@ buffers as numpy arrays, and vectorised word splitting and hashing."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once by the numpy code, in bytes (a longer document is handled alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -54,6 +55,23 @@ def ship(spark: SparkSession) -> None:
         sc._inkveil_shipped = True
 
 
+def lean(run):
+    """``run`` over batches, after whose last one the worker returns free memory to the system:
+    workers outlive their tasks, and what idle ones hold counts as well."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # a C library without it
+
+    return held
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/inkveil-{uuid.uuid4().hex[:12]}-{name}"
     _staged.append((spark, path))
@@ -103,7 +121,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
             with np.errstate(over="ignore"):
                 yield pa.RecordBatch.from_arrays([pa.array((p >> 6).astype(np.int32)), pa.array((np.uint64(1) << (p & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
-    words = ids.mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = ids.mapInArrow(lean(places), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out.view(np.uint64)
@@ -128,7 +146,7 @@ def split_by_filter(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") ->
                 ok = may_have(held.value, batch.column(at).cast(pa.int64()))
                 yield batch.filter(pa.array(ok if wanted else ~ok))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(lean(run), docs.schema)
 
     return scan(False), scan(True)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, span_hashes, spans_of, text_buffers
+from .common import LOWER, chunks, lean, span_hashes, spans_of, text_buffers
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -201,7 +201,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             n_words = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(matches, kind)], ["doc_id", "n_words", "matches"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_words long, matches {MATCHES}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), f"doc_id long, n_words long, matches {MATCHES}")
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -241,5 +241,5 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ok.append((n_hit == 0) | (20 * n_hit < np.diff(shard.before)))
             yield batch.filter(pa.array(np.concatenate(ok) if ok else np.zeros(0, bool)))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)
 

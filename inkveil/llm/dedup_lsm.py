@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_ids, id_filter, may_have, stage
+from .common import drop_ids, id_filter, lean, may_have, stage
 
 #: A memtable is flushed at so many bytes of text or identifiers.
 MEMTABLE_BYTES, MEMTABLE_IDS = 16 << 20, 50_000
@@ -68,7 +68,7 @@ def build_runs(docs: DataFrame, keep: str = "min", digest_bytes: int = 32) -> Da
         if table:
             yield flush(table)
 
-    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(fill, _RUNS), "runs")
+    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(fill), _RUNS), "runs")
 
 
 def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
             text = [normalise(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary())], ["doc_id", "body"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, body binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(scan), "doc_id long, body binary")
     return found.join(ids.distinct(), "doc_id", "left_semi")
 
 
@@ -143,7 +143,7 @@ class Index:
 
     def lookup(self, batch: DataFrame) -> DataFrame:
         """(doc_id, keep_id): the indexed document with the same text, or null."""
-        own = batch.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests, "doc_id long, digest binary, body binary")
+        own = batch.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_digests), "doc_id long, digest binary, body binary")
         hits = own.join(self.level1.select("digest", "keep_id"), "digest", "left")
         kept = fetch(self.docs, hits.where("keep_id is not null").select(F.col("keep_id").alias("doc_id"))).withColumnRenamed("doc_id", "keep_id").withColumnRenamed("body", "there")
         return hits.join(kept, "keep_id", "left").select("doc_id", F.when(F.col("body") == F.col("there"), F.col("keep_id")).alias("keep_id"))

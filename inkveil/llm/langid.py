@@ -21,6 +21,7 @@ that repeat are treated alike; an empty table gives no rows; further columns are
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stage, text_buffers, chunks
+from .common import chunks, lean, stage, text_buffers
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Sampled training documents for each language (the expected number; a sample twice as large is cut).
 SAMPLE = 600
 UNKNOWN = "und"
+#: Bytes of texts, or characters of one longer text, whose n-grams are held at once.
+SLICE = 1 << 18
 #: Features are multiplied by it, so that FTRL's steps suit shares of an n-gram among thousands.
 SCALE = 30.0
 _LETTER = re.compile(r"[^\W\d_]")
@@ -52,7 +55,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = len(code)
     stop = np.repeat(np.cumsum(sizes), sizes)
     place = np.arange(n)
-    out = np.zeros((n, len(ORDERS)), np.int64)
+    out = np.zeros((n, len(ORDERS)), np.uint16)
     ok = np.zeros((n, len(ORDERS)), bool)
     h = np.zeros(n, np.uint64)
     shift = np.uint64(64 - (BUCKETS - 1).bit_length())
@@ -64,7 +67,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint64(29)
             if k + 1 in ORDERS:
                 j = ORDERS.index(k + 1)
-                out[:, j] = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> shift).astype(np.int64)
+                out[:, j] = (h * np.uint64(0xBF58476D1CE4E5B9)) >> shift
                 ok[:, j] = place + k < stop
     per_char = ok.sum(axis=1)
     ends = np.concatenate([[0], np.cumsum(per_char)])
@@ -72,6 +75,15 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out[ok], np.diff(ends[edges])
 
 
+def slices(text: str) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of one text of any length, those of SLICE characters at once."""
+    text, reach = text.lower(), max(ORDERS) - 1
+    for a in range(0, len(text), SLICE):
+        b = a + SLICE
+        buckets, _ = grams([text[a : b + reach]])
+        yield buckets[: len(buckets) - len(grams([text[b : b + reach]])[0])]  # what begins at b or later comes last
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -86,6 +98,16 @@ class Model:
             out[some] += np.add.reduceat(self.weights[buckets], first, axis=0, dtype=np.float64) / counts[some, None]
         return out
 
+    def read(self, texts: list[str]) -> np.ndarray:
+        """The logits of a chunk: texts of at most SLICE bytes together, or one text."""
+        if len(texts) != 1:
+            return self.logits(*grams(texts))
+        total, n = np.zeros(len(self.bias)), 0
+        for buckets in slices(texts[0]):
+            total += self.weights[buckets].sum(axis=0, dtype=np.float64)
+            n += len(buckets)
+        return (self.bias + total / max(n, 1))[None]
+
 
 def statistics(training: DataFrame) -> tuple[int, np.ndarray, list[tuple[str, int, np.ndarray, np.ndarray]]]:
     """(documents, document frequency of each bucket, sample), in one pass over all training texts.
@@ -104,7 +126,18 @@ def statistics(training: DataFrame) -> tuple[int, np.ndarray, list[tuple[str, in
             offsets, _ = text_buffers(batch.column(0))
             texts = [t or "" for t in batch.column(0).to_pylist()]
             lang, taken, part = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            for i, j in chunks(offsets, 1 << 20):
+
+            def row(r, own, n):
+                return pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([lang[r]], pa.string()), pa.array([part[r]], pa.int32()), pa.array([own.tolist()], pa.list_(pa.int32())), pa.array([n.tolist()], pa.list_(pa.int32()))], names)
+
+            for i, j in chunks(offsets, SLICE):
+                if j - i == 1:
+                    n = sum((np.bincount(b, minlength=BUCKETS) for b in slices(texts[i])), np.zeros(BUCKETS, np.int64))
+                    own = np.flatnonzero(n)
+                    total[own] += 1
+                    if taken[i]:
+                        yield row(i, own, n[own])
+                    continue
                 buckets, counts = grams(texts[i:j])
                 owner = np.repeat(np.arange(j - i), counts)
                 for a in range(0, j - i, 32):  # a dense block of rows marks what occurs in each
@@ -116,13 +149,13 @@ def statistics(training: DataFrame) -> tuple[int, np.ndarray, list[tuple[str, in
                 for r in range(i, j):
                     if taken[r]:
                         own, n = np.unique(buckets[ends[r - i] - counts[r - i] : ends[r - i]], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([lang[r]], pa.string()), pa.array([part[r]], pa.int32()), pa.array([own.tolist()], pa.list_(pa.int32())), pa.array([n.tolist()], pa.list_(pa.int32()))], names)
+                        yield row(r, own, n)
         used = np.flatnonzero(total)
         none = [pa.nulls(len(used), t) for t in (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used]), *none], names)
 
     names = ["bucket", "df", "lang", "fold", "own", "counts"]
-    found = stage(training.select("text", "lang", (draw < share).alias("taken"), fold.alias("fold")).mapInArrow(count, "bucket int, df long, lang string, fold int, own array<int>, counts array<int>"), "language-statistics")
+    found = stage(training.select("text", "lang", (draw < share).alias("taken"), fold.alias("fold")).mapInArrow(lean(count), "bucket int, df long, lang string, fold int, own array<int>, counts array<int>"), "language-statistics")
     df = np.zeros(BUCKETS, np.int64)
     for r in found.where("bucket is not null").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         df[r["bucket"]] = r["df"]
@@ -201,13 +234,13 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             lang, score = [], []
             offsets, _ = text_buffers(batch.column(1))
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, SLICE):
                 some = [bool(_LETTER.search(t)) for t in texts[i:j]]
                 if model is None:
                     lang += [UNKNOWN] * (j - i)
                     score += [0.0] * (j - i)
                     continue
-                s = model.logits(*grams(texts[i:j]))
+                s = model.read(texts[i:j])
                 p = np.exp(s - s.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 best = p.argmax(axis=1)
@@ -215,7 +248,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 score += [x if ok else 0.0 for x, ok in zip(p.max(axis=1).tolist(), some, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -234,13 +267,13 @@ def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
             column = batch.column(batch.schema.get_field_index("text"))
             offsets, _ = text_buffers(column)
             texts, ok = [t or "" for t in column.to_pylist()], []
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, SLICE):
                 if held is None:
                     ok += [False] * (j - i)
                     continue
-                s = held.logits(*grams(texts[i:j]))
+                s = held.read(texts[i:j])
                 top = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
                 ok += [bool(_LETTER.search(t)) and p >= least for t, p in zip(texts[i:j], top.tolist(), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, stage, text_buffers
+from .common import CHUNK_BYTES, chunks, lean, stage, text_buffers
 
 SPACE = "▁"
 DICTIONARY = 1 << 16
@@ -304,7 +304,7 @@ def frequent_words(docs: DataFrame, path: str, limit: int = DICTIONARY) -> DataF
             pa.default_memory_pool().release_unused()
         yield flush()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.orderBy(F.desc("n"), "word").limit(limit)
 
 
@@ -341,7 +341,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), limi
 
         for batch in batches:
             offsets, _ = text_buffers(batch.column(0))
-            for i, j in chunks(offsets, CHUNK_BYTES // 2):
+            for i, j in chunks(offsets, CHUNK_BYTES):
                 if len(words) > CACHE:
                     words.clear()
                 if len(rare) > CACHE:
@@ -371,7 +371,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), limi
 
     own = docs.select(F.col("text"), *keep)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[1:])
-    return own.mapInArrow(run, f"{kinds}n_pieces long, ids_crc32 long, decoded_chars long, lossless boolean" + (", ids array<int>" if with_ids else ""))
+    return own.mapInArrow(lean(run), f"{kinds}n_pieces long, ids_crc32 long, decoded_chars long, lossless boolean" + (", ids array<int>" if with_ids else ""))
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
@@ -387,4 +387,4 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), i
 
     own = encoded.select(F.col(ids_col), *keep)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[1:])
-    return own.mapInArrow(run, f"{kinds}text string")
+    return own.mapInArrow(lean(run), f"{kinds}text string")

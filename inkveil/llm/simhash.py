@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, drop_ids, spans_of, stage, text_buffers
+from .common import LOWER, chunks, drop_ids, lean, spans_of, stage, text_buffers
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Nodes of a tile, and of the blocks compared at once within a pair of tiles.
@@ -138,7 +138,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fps = [batch_fingerprints(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], width) for i, j in chunks(offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps or [np.zeros(0, np.uint64)]).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- links
@@ -200,7 +200,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
 
     keys = ["band", "value", "t", "u"]
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
+    return units.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def _groups(batches, n_keys: int):

@@ -124,6 +124,15 @@ def test_language(spark, empty):
     assert {r[0] for r in langid.identify(unlabelled).select("lang_pred").collect()} == {"und"}
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50, 10_000])
+def test_slices_of_a_long_text(monkeypatch, size):
+    text = "Größe İstanbul ΟΔΟΣ und 日本語 🙂 " * 20
+    whole, _ = langid.grams([text.lower()])
+    monkeypatch.setattr(langid, "SLICE", size)
+    assert Counter(np.concatenate(list(langid.slices(text))).tolist()) == Counter(whole.tolist())
+    assert list(langid.slices("")) == []
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = [(i, "abc def" if zlib.crc32(str(i).encode()) % 3 == 1 else "xyz uvw", "p" if zlib.crc32(str(i).encode()) % 3 == 1 else "q") for i in range(60)]
     got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
