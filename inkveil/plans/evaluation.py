@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd  # here, as the type hints of tagger's function are looked up in the module
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,18 +54,17 @@ def language_model(generate: attack.Generate, model: str, text: str = "text") ->
     system = "Rewrite the text so that it holds no secrets, personal data or internal names. Answer with the text only."
 
     def replace(df: DataFrame) -> DataFrame:
-        asked = attack.ask(df.withColumn("__prompt", F.substring(text, 1, 6000)), generate, model, system, "__prompt")
-        return asked.withColumn("out_text", F.when(F.length("answer") >= 5, F.col("answer"))).drop("answer", "error", "__prompt")
+        asked = attack.ask(df, generate, model, system, text)
+        return asked.withColumn("out_text", F.when(F.length("answer") >= 5, F.col("answer"))).drop("answer", "error")
 
     return external("language_model", replace, text)
 
 
-def tagger(find: Callable[[str], list[tuple[int, int, str]]], name: str = "entity_tagger", text: str = "text", window: int = 100_000) -> Policy:
-    """A policy from an entity tagger: (start, end, label) of a text's entities become <LABEL>."""
+def tagger(find: Callable[[str], list[tuple[int, int, str]]], name: str = "entity_tagger", text: str = "text", window: int | None = None) -> Policy:
+    """A policy from an entity tagger: (start, end, label) of a text's entities become <LABEL>.  The
+    tagger gets the whole text, or its first ``window`` characters (100,000 for spaCy)."""
 
     def replace(df: DataFrame) -> DataFrame:
-        import pandas as pd
-
         @F.pandas_udf("string")
         def run(texts: pd.Series) -> pd.Series:
             def one(t):

@@ -193,3 +193,14 @@ def test_cli(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(body))
     out = cli.run(spark, ["scan", "--manifest", f"{tmp_path}/m.json", "--output", f"{tmp_path}/o"])
     assert out.count() == 1 and out.first()["categories"] == ["PII"]
+
+
+def test_language_models_and_taggers_get_the_whole_text(spark):
+    df = frame(spark, ["x" * 7000 + " end", "y" * 120_000 + " Ann", None])
+    got = E.language_model(lambda model, system, prompt: prompt.upper(), "m")(df).orderBy("doc_id").collect()
+    assert [r["out_text"] for r in got] == ["X" * 7000 + " END", "Y" * 120_000 + " ANN", None]
+    assert got[2]["operators_applied"] == ["LANGUAGE_MODEL_ERROR"]
+    find = lambda t: [(m.start(), m.end(), "PERSON") for m in re.finditer("Ann", t)]
+    tagged = {w: [r["out_text"] for r in E.tagger(find, window=w)(df).orderBy("doc_id").collect()] for w in (None, 100_000)}
+    assert tagged[None][1] == "y" * 120_000 + " <PERSON>" and tagged[100_000][1].endswith(" Ann")
+    assert E.tagger(find)(df).where("doc_id = 1").first()["out_text"] == tagged[None][1]
