@@ -691,7 +691,7 @@ def logistic_baseline(spark, sf_dir):
     d, lab = K.table(spark, sf_dir, "documents"), K.table(spark, sf_dir, "labels")
     rows = d.join(lab, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").alias("label"))
     parts = classify.split(rows, "doc_id", ["label"])
-    model = classify.logistic_baseline(parts.where("split = 'train'"), max_features=20_000, iterations=50)
+    model = classify.logistic_baseline(parts.where("split = 'train'"))
     scored_rows = model.transform(classify.with_terms(parts.where("split = 'test'")))
     return classify.metrics(classify.confusion(scored_rows, pred="prediction")).select("n_records", "accuracy", "f1_sensitive", "f1_macro", "mcc")
 
