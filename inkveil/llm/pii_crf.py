@@ -4,9 +4,12 @@ Base spans come from the contract's four patterns with their checks.  The random
 that the patterns miss (telephone numbers without a plus sign, dotted card numbers, addresses with
 a spelled-out sign and the like); an added span never touches a base span.
 
-The field labels words by shape.  A word is a run of non-space; a word without digit and without @
-can only be O, a constraint of the model, so a document's chain falls into independent segments
-between such words and is decoded exactly by decoding those.  Segments of equal length are decoded
+The field labels words by shape.  A word is a run of non-space.  Candidates are words with a digit,
+an @ or a bracketed at or dot, the words of a spelled-out address (local part, at, name, dot, name;
+without a dot word only if the at is bracketed, as "look at example.com" is no address), and a lone
+hyphen or slash between two words with digits.  Any other word can only be O, a constraint of the
+model, so a document's chain falls into independent segments between such words and is decoded
+exactly by decoding those.  Segments of equal length are decoded
 together by Viterbi in numpy.  The model is trained on the labelled table below (a few hundred
 rows once its number slots are filled), by gradient ascent on the penalised log-likelihood.
 
@@ -26,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +157,32 @@ TABLE = (
     "W @ W",
     "W @W99 W",
     "see @W W",
+    # spelled-out addresses ({ and } become square brackets) and lone joiners
+    "write to [email|W at W dot com] W",
+    "mail [email|W at W dot org].",
+    "W [email|W at W dot W dot net] W",
+    "W [email|W dot W at W dot com], W",
+    "W [email|W (at) W (dot) com] W",
+    "W [email|W {at} W {dot} org], W",
+    "W [email|W {at} W.com] W",
+    "W [email|W{at}W{dot}com] W",
+    "W [email|W(at)W.org] W",
+    "W [email|w99 at W dot com] W",
+    "W [email|W@W dot com] W",
+    "call [phone|(999) - 999 - 9999] W",
+    "W [phone|999 - 999 - 9999] W",
+    "tel [phone|999 / 999 - 9999].",
+    "look at the dot on W",
+    "W at a dot W",
+    "W at this dot in W",
+    "W (at) the W",
+    "W 9 - 9 W",
+    "pages 99 - 99 W",
+    "W 999 - 999 W",
+    "W 9999 - 9999 W",
+    "W 9999 - 99 - 99 W",
+    "W 99 / 99 W",
+    "W 99 / 99 / 9999 W",
 )
 REPEATS = 8
 
@@ -173,6 +203,7 @@ def labelled_table(seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]
         part = re.sub(r"\bN\b", lambda _: card(False), part)
         part = re.sub(r"H\b", lambda _: "".join(draw.choice("0123456789abcdef") for _ in range(draw.choice((16, 18, 40)))), part)
         part = re.sub(r"W", lambda _: "".join(draw.choice("aeionrst") for _ in range(draw.randint(2, 9))), part)
+        part = part.replace("{", "[").replace("}", "]")
         return re.sub(r"9", lambda _: draw.choice("0123456789"), part)
 
     rows = []
@@ -218,9 +249,23 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+_WORD = re.compile(r"\S+")
+_SPECIAL = re.compile(r"[0-9@]")
+_JOINER = re.compile(r"[\[(]?(at|dot)[\])]?", re.I)
+_TOP = frozenset("com org net edu gov info io co de fr es it uk eu ch at nl".split())
+#: What a text with a spelled-out address has; Arrow reads it too.
+SPELLED = r"(?i)dot|[\[(]at[\])]"
+_SPELLED = re.compile(SPELLED)
+_BRACKETED = re.compile(r"[\[(](?:at|dot)[\])]", re.I)
+# from starts of words only and without backtracking, for linear time
+_DOTS = r"(?:\s++(?:dot|\(dot\)|\[dot\])\s++\S++)"
+_ADDRESS = re.compile(rf"(?<!\S)(?:\S++{_DOTS}*+\s++(?:at\s++\S++{_DOTS}++|(?:\(at\)|\[at\])\s++\S++{_DOTS}*+)|[^\s@]++@\S++{_DOTS}++)", re.I)
+_LONE = frozenset("-/\u2013")
+
+
 def features(words: list[str], before: str, after: str) -> list[list[str]]:
     """Of each word of a segment; before and after are the plain words around it."""
-    shapes = [shape(w) for w in words]
+    shapes = [m[1].upper() if (m := _JOINER.fullmatch(w)) else shape(w) for w in words]
     out = []
     for i, (word, own) in enumerate(zip(words, shapes, strict=True)):
         digits = "".join(_DIGITS.findall(word))
@@ -235,29 +280,53 @@ def features(words: list[str], before: str, after: str) -> list[list[str]]:
         f.append(f"n={shapes[i + 1] if i + 1 < len(words) else 'end'}")
         f.append(f"p={shapes[i - 1] if i else 'begin'}|s={own}")
         f.append(f"only={len(words) == 1}|s={own}")
+        if i + 1 == len(words):
+            f.append(f"a={after.lower()[:32]}")
+        if not _SPECIAL.search(word):
+            f += [f"w={word.lower()[:32]}", f"top={word.lower().rpartition('.')[2] in _TOP}"]
         out.append(f)
     return out
 
 
-_WORD = re.compile(r"\S+")
-_SPECIAL = re.compile(r"[0-9@]")
+def segments(text: str) -> list[tuple[list[tuple[int, int]], list[str], str, str]]:
+    """(word places, words, word before, word after) for each run of candidates."""
+    out, run, last, held, digits = [], [], "", None, False
+    spelled = bool(_SPELLED.search(text))
+    addresses = _ADDRESS.finditer(text) if spelled else iter(())
+    address = next(addresses, None)
 
+    def place(m):
+        s, e = trim(m[0])
+        return m.start() + s, m.start() + e
+
+    def close(after):
+        out.append((run, [text[s:e] for s, e in run], before, after))
 
-def segments(text: str) -> list[tuple[list[tuple[int, int]], list[str], str, str]]:
-    """(word places, words, word before, word after) for each run of words with digit or @."""
-    out, run, last = [], [], ""
     for m in _WORD.finditer(text):
-        if _SPECIAL.search(m[0]):
+        while address and address.end() <= m.start():
+            address = next(addresses, None)
+        word = m[0]
+        inside = address is not None and address.start() <= m.start()
+        marked = bool(_SPECIAL.search(word)) or inside or (spelled and bool(_BRACKETED.search(word)))
+        if held and not (marked and _DIGITS.search(word)):
+            close(held[0])
+            run, held = [], None
+        if marked:
             if not run:
                 before = last
-            s, e = trim(m[0])
-            run.append((m.start() + s, m.start() + e))
+            if held:
+                run.append(place(held))
+                held = None
+            run.append(place(m))
+            digits = bool(_DIGITS.search(word))
+        elif run and digits and word in _LONE:
+            held = m
         elif run:
-            out.append((run, [text[s:e] for s, e in run], before, m[0]))
+            close(word)
             run = []
-        last = m[0]
+        last = word
     if run:
-        out.append((run, [text[s:e] for s, e in run], before, ""))
+        close(held[0] if held else "")
     return out
 
 
@@ -408,7 +477,8 @@ def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
         for batch in batches:
             offsets, data = text_buffers(batch.column(1))
             marked = np.concatenate([[0], np.cumsum(_MARK[data])])
-            some = np.flatnonzero(marked[offsets[1:]] > marked[offsets[:-1]])
+            spelled = pc.match_substring_regex(batch.column(1), SPELLED).fill_null(False).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero((marked[offsets[1:]] > marked[offsets[:-1]]) | spelled)
             n = len(offsets) - 1
             counts = {k: np.zeros(n, np.int64) for k in KINDS}
             digests, shown, found = [empty] * n, [""] * n, [[] for _ in range(n)]

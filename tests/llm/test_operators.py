@@ -292,6 +292,32 @@ def test_field_on_fresh_rows():
     assert right > 0.95 * len(rows) and extra < 0.02 * len(rows)
 
 
+@pytest.fixture(scope="module")
+def field():
+    return pii_crf.train()
+
+
+@pytest.mark.parametrize(
+    "kind, text, want",
+    [
+        ("email", "write to john at example dot com today", "john at example dot com"),
+        ("email", "mail mary (at) sample (dot) org.", "mary (at) sample (dot) org"),
+        ("email", "or peter [at] example.com, please", "peter [at] example.com"),
+        ("email", "ask anna[at]sample[dot]com soon", "anna[at]sample[dot]com"),
+        ("phone", "call (555) - 123 - 4567 now", "(555) - 123 - 4567"),
+        ("phone", "ring 555 - 123 - 4567 today", "555 - 123 - 4567"),
+        (None, "look at the dot on the wall", None),
+        (None, "see pages 12 - 15 of it", None),
+        (None, "on 2024 - 01 - 15 we met", None),
+        (None, "we sat at home and ate", None),
+    ],
+)
+def test_spelled_out_and_spaced_spans(spark, field, kind, text, want):
+    row = pii_crf.detect(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), field).where("doc_id = 1").first()
+    assert [(x["kind"], text[x["start"] : x["end"]], x["added"]) for x in row["found"]] == ([(kind, want, True)] if want else [])
+    assert row["base_sha256"] == hashlib.sha256(b"").hexdigest() and row["n_email"] == row["n_phone"] == 0
+
+
 def test_viterbi_is_the_best_path():
     field = pii_crf.train(steps=20)
     rnd = np.random.default_rng(0)
