@@ -519,13 +519,13 @@ def pairwise_summary(spark, sf_dir):
 @query()
 def bootstrap_intervals(spark, sf_dir):
     rows = K.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
-    return stats.bootstrap(rows, ["quality", "toxic"], replicates=200, linear=True)
+    return stats.bootstrap(rows, ["quality", "toxic"], linear=True)
 
 
 @query("SELECT 'quality' AS metric, round(avg(quality), 9) AS mean FROM labels UNION ALL SELECT 'toxic', round(avg(toxic), 9) FROM labels")
 def bootstrap_means(spark, sf_dir):
     rows = K.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
-    return stats.bootstrap(rows, ["quality", "toxic"], replicates=20).select("metric", F.round("mean", 9).alias("mean"))
+    return stats.bootstrap(rows, ["quality", "toxic"]).select("metric", F.round("mean", 9).alias("mean"))
 
 
 @query(f"""WITH ph AS ({_PH}), n AS (SELECT count(*) AS n FROM orders), k AS (SELECT placeholder, count(DISTINCT doc_id) AS k FROM ph GROUP BY placeholder)

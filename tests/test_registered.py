@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from inkveil.operators import classify
+from inkveil.operators import classify, stats
 from inkveil.plans import queries as Q
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -34,3 +34,8 @@ def given(spark, monkeypatch, module, operator, query):
 def test_logistic_baseline(spark, monkeypatch):
     seen = given(spark, monkeypatch, classify, "logistic_baseline", "logistic_baseline")
     assert seen["max_features"] == 100_000 and seen["iterations"] == 1000
+
+
+@pytest.mark.parametrize("query", ["bootstrap_intervals", "bootstrap_means"])
+def test_bootstrap(spark, monkeypatch, query):
+    assert given(spark, monkeypatch, stats, "bootstrap", query)["replicates"] == 2000
