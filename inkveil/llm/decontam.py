@@ -220,26 +220,20 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all their columns as they were."""
+    """The rows of ``docs`` without any verbatim match, all their columns as they were.  One hit word
+    is enough to go, whatever the document's length."""
     held = blocks(benchmark)
 
     def clean(batches):
         one = Queries(held[0].value) if len(held) == 1 else None
         for batch in batches:
             offsets, data = text_buffers(batch.column(batch.schema.get_field_index("text")))
-            ok = []
+            ok = np.ones(batch.num_rows, bool)
             for i, j in chunks(offsets):
                 shard = Shard(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
-                hit = np.zeros(len(shard.starts) + 1, np.int64)
                 for b in held:
-                    for row, _, at, _, n in shard.matches(one or Queries(b.value)):
-                        at += int(shard.before[row])
-                        hit[at] += 1
-                        hit[at + n] -= 1
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-                n_hit = covered[shard.before[1:]] - covered[shard.before[:-1]]
-                ok.append((n_hit == 0) | (20 * n_hit < np.diff(shard.before)))
-            yield batch.filter(pa.array(np.concatenate(ok) if ok else np.zeros(0, bool)))
+                    ok[[i + m[0] for m in shard.matches(one or Queries(b.value))]] = False
+            yield batch.filter(pa.array(ok))
 
     return docs.mapInArrow(lean(clean), docs.schema)
 
