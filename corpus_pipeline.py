@@ -7,7 +7,7 @@ columns of documents; the last returns the encoded corpus.
 1. language: documents without a letter, or whose language is a guess, go.
 2. exact copies: of equal texts (A-Z lower-cased) the smallest identifier stays.
 3. near copies: of each SimHash component the smallest identifier stays.
-4. benchmark: documents of which a twentieth or more repeats benchmark windows go.
+4. benchmark: documents that repeat any benchmark window (13 words, or a shorter item) go.
 5. pieces: SentencePiece ids, decoded again and held against the text.
 """
 
