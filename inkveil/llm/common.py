@@ -4,9 +4,12 @@ buffers as numpy arrays, and vectorised word splitting and hashing."""
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -17,20 +20,23 @@ from pyspark.sql import functions as F
 #: Text handled at once by the numpy code, in bytes (a longer document is handled alone).
 CHUNK_BYTES = 1 << 20
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, list[tuple[SparkSession, str]]] = {}
+_owner: ContextVar[str] = ContextVar("owner", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the setting is absent (local runs, tests).
+    A folder of our own is set only where the setting is absent and all runs in one process (local
+    runs, tests); on a cluster its absence is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="inkveil-")
-        spark.sparkContext.setCheckpointDir(d)
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -40,7 +46,8 @@ BATCH_ROWS = 1000
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, whose Python workers import it by name, and bound the
-    batches they get (unless the session's own setting is lower)."""
+    batches they get: a setting of the session, which its other queries get too (a lower one of the
+    session's own stays)."""
     sc = spark.sparkContext
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
@@ -72,9 +79,19 @@ def lean(run):
     return held
 
 
+@contextmanager
+def staging_for(owner: str):
+    """What is staged within belongs to ``owner``, for ``release_staged``."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/inkveil-{uuid.uuid4().hex[:12]}-{name}"
-    _staged.append((spark, path))
+    _staged.setdefault(_owner.get(), []).append((spark, path))
     return path
 
 
@@ -93,69 +110,89 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release_staged() -> None:
-    """Delete what earlier calls staged.  Only for callers that have written the earlier results."""
-    while _staged:
-        spark, path = _staged.pop()
+def release_staged(owner: str) -> None:
+    """Delete what ``owner`` has staged.  Only for callers that have written the owner's results."""
+    for spark, path in _staged.pop(owner, []):
         delete_path(spark, path)
 
 
-#: Bits and hashes of a filter over identifiers: a fixed size, whatever the input.
-FILTER_BITS, FILTER_HASHES = 1 << 23, 4
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each with underscores in front until no column has the name (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+# ---------------------------------------------------------------- Bloom filters
 
+#: Bits a key, hashes, and the largest filter: 64 MB.  Beyond 45 million keys a filter of that size
+#: rules out less, and more rows go the exact way that follows every filter.
+FILTER_BITS, FILTER_HASHES, FILTER_MOST = 12, 4, 1 << 29
 
-def _probe(ids: np.ndarray) -> np.ndarray:
-    """FILTER_HASHES bit places for each identifier."""
-    h = mix(ids.astype(np.int64).view(np.uint64))
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """FILTER_HASHES bit places for each 64-bit key."""
+    h = mix(keys)
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     with np.errstate(over="ignore"):
-        return np.stack([(a + np.uint64(i) * b) % np.uint64(FILTER_BITS) for i in range(FILTER_HASHES)], 1).astype(np.int64)
+        return np.stack([(a + np.uint64(i) * b) & np.uint64(bits - 1) for i in range(FILTER_HASHES)], 1).astype(np.int64)
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """Bloom filter over a column of identifiers; the driver gets at most FILTER_BITS / 64 words."""
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bloom filter over the one column (long) of a staged table, sized by its rows: at most
+    FILTER_MOST bits come to the driver."""
+    bits = max(1 << 16, min(FILTER_MOST, 1 << (FILTER_BITS * max(1, keys.count()) - 1).bit_length()))
 
     def places(batches):
         for batch in batches:
-            p = np.unique(_probe(batch.column(0).drop_null().to_numpy(zero_copy_only=False)).ravel())
+            p = np.unique(_places(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits).ravel())
             with np.errstate(over="ignore"):
                 yield pa.RecordBatch.from_arrays([pa.array((p >> 6).astype(np.int32)), pa.array((np.uint64(1) << (p & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
-    words = ids.mapInArrow(lean(places), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    words = keys.mapInArrow(lean(places), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
+def may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys the filter does not rule out."""
+    p = _places(keys, 64 * len(words))
+    with np.errstate(over="ignore"):
+        return ((words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+
+
 def may_have(words: np.ndarray, ids: pa.Array) -> np.ndarray:
     """Which identifiers the filter does not rule out; never null ones."""
-    p = _probe(ids.fill_null(0).to_numpy(zero_copy_only=False))
-    with np.errstate(over="ignore"):
-        return ((words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1) & np.asarray(ids.is_valid())
+    return may_hold(words, ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.asarray(ids.is_valid())
 
 
-def split_by_filter(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows that are not in ``ids``, rows that may be): two narrow scans, so that a join with
-    ``ids`` shuffles few of the documents."""
-    held = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    at = docs.columns.index(id_col)
+def split_rows(df: DataFrame, test) -> tuple[DataFrame, DataFrame]:
+    """(rows that fail, rows that pass) a test of Arrow batches: two narrow scans."""
 
     def scan(wanted: bool):
         def run(batches):
             for batch in batches:
-                ok = may_have(held.value, batch.column(at).cast(pa.int64()))
+                ok = test(batch)
                 yield batch.filter(pa.array(ok if wanted else ~ok))
 
-        return docs.mapInArrow(lean(run), docs.schema)
+        return df.mapInArrow(lean(run), df.schema)
 
     return scan(False), scan(True)
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose identifier is not in the one column of ``ids``."""
-    clear, maybe = split_by_filter(docs, ids, id_col)
-    gone = ids.select(F.col(ids.columns[0]).alias("__gone")).distinct()
-    return clear.unionByName(maybe.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti"))
+    """The rows of ``docs`` whose identifier is not in the one column of ``ids``: a filter over the
+    identifiers lets most rows stay where they are, and only the rest are joined."""
+    (key,) = free_names(docs.columns, "gone")
+    gone = stage(ids.select(F.col(ids.columns[0]).cast("long").alias(key)).distinct(), "gone")
+    held, at = docs.sparkSession.sparkContext.broadcast(key_filter(gone)), docs.columns.index(id_col)
+    clear, maybe = split_rows(docs, lambda batch: may_have(held.value, batch.column(at).cast(pa.int64())))
+    return clear.unionByName(maybe.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti"))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
