@@ -6,32 +6,49 @@ shingle, repeats included, is computed in numpy over whole batches; a bit of the
 if it is set in over half of them.
 
 Links: equal fingerprints are one node, named by their smallest identifier, before anything is
-compared.  Nodes within r bits agree on at least one of r + 1 bit bands, so nodes are dealt out by
-(band, value); a band value's nodes form tiles of at most TILE nodes, and pairs of tiles are the
-units of work, so no band value, however common, meets in one task.  A unit sorts its nodes by
-population count and compares blocks by exclusive-or and bit counts, skipping the pairs of blocks
-whose population counts differ by more than r.  It returns a spanning forest of the links it
-found, not the links, so that a dense group costs as many rows as it has nodes.
+compared.  Nodes meet in groups that cannot separate a link:
+
+* ``near_duplicates`` (links: at most r differing bits): such nodes agree on at least one of r + 1
+  bit bands, so a group is a band and its value; a group of very many nodes is cut again by bands of
+  its other bits, by the same argument.
+* ``similar`` (links: fingerprints within SIMILAR_RADIUS bits and shingle sets of a similarity of
+  0.8 or more): no bands of 64 bits hold pairs that far apart together, so a group is an equal band
+  of minima of the same hashes; the similarity comes from a sketch of 240 minima.
+
+A group's nodes are ordered by population count and cut into tiles; a unit of work is a pair of
+tiles, and pairs whose population counts differ by more than the radius are left out.  A unit
+compares tile with tile by exclusive-or and bit counts, block by block under the same rule, and
+returns a star for each connected part, not its links, so that a dense group costs as many rows as
+it has nodes.  A group has at most MOST_TILES tiles, so no node is copied more often than that.
 
 Components: minima over star edges (large-star and small-star in turn) until nothing changes; a
 component is named by its smallest identifier.
 
 Cases: null text counts as empty; rows without identifier get a fingerprint and component null;
-of rows that repeat an identifier each gets a row back, with the component of its own text; an empty table gives no rows; further columns are not read.
+of rows that repeat an identifier each gets a row back, with the component of its own text; an
+empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, drop_ids, lean, spans_of, stage, text_buffers
+from .common import LOWER, chunks, drop_ids, lean, mix, spans_of, stage, text_buffers
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Nodes of a tile, and of the blocks compared at once within a pair of tiles.
-TILE, BLOCK = 2048, 256
+#: Nodes of a tile, tiles of a group, and nodes of the blocks compared at once.
+TILE, MOST_TILES, BLOCK = 2048, 64, 256
+#: A group of more tiles than this is cut by further bands first.
+CUT_AGAIN = 64
+#: ``similar``: words of a shingle; least similarity; the sketch's error (two standard deviations at
+#: 0.8); bits that fingerprints of similar texts may differ by (10 on average at 0.8, 3 deviation).
+WIDE, SIMILARITY, SLACK, SIMILAR_RADIUS = 5, 0.8, 0.05, 16
+#: Minima of a sketch, and of a band's key: 10 bands of 3 minima (each over 8 of the sketch's) miss a
+#: pair of similarity 0.8 once in 1300.
+BINS, BANDS, IN_BAND = 240, 10, 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -102,10 +119,8 @@ def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int =
         return h ^ (h >> np.uint64(32))
 
 
-def batch_fingerprints(offsets: np.ndarray, data: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """One fingerprint a row of a text buffer."""
-    n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
+def batch_shingles(offsets: np.ndarray, data: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that have shingles, shingles of each, their hashes row by row) of a text buffer."""
     starts, ends, before = spans_of(~_SPACE[data], offsets)
     words = np.diff(before)
     # words one after the other, a space after each: a shingle is then one run of bytes
@@ -116,19 +131,45 @@ def batch_fingerprints(offsets: np.ndarray, data: np.ndarray, width: int = SHING
     flat[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = LOWER[data[keep]]
     shingles = np.where(words > 0, np.maximum(words - width + 1, 1), 0)
     rows = np.flatnonzero(shingles)
-    if not len(rows):
-        return out
     count = shingles[rows]
-    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    first = np.cumsum(count) - count
     begin = np.arange(int(count.sum())) + np.repeat(before[rows] - first, count)
     end = begin + np.repeat(np.minimum(words[rows], width), count)
-    h = xxh64(flat, place[begin], place[end] - 1 - place[begin])
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    total = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    out[rows] = np.packbits(2 * total > count[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
+    return rows, count, xxh64(flat, place[begin], place[end] - 1 - place[begin])
+
+
+def batch_fingerprints(offsets: np.ndarray, data: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """One fingerprint a row of a text buffer."""
+    return _majority(len(offsets) - 1, *batch_shingles(offsets, data, width))
+
+
+def _majority(n: int, rows: np.ndarray, count: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, np.uint64)
+    if len(rows):
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total = np.add.reduceat(bits, np.cumsum(count) - count, axis=0, dtype=np.int32)
+        out[rows] = np.packbits(2 * total > count[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
     return out
 
 
+_NONE = np.uint64(2**64 - 1)
+
+
+def _sketches(n: int, rows: np.ndarray, count: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n x BINS bytes, 0 where no hash fell; n x BANDS keys; which keys there are)."""
+    least = np.full(n * BINS, _NONE, np.uint64)
+    bins = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
+    np.minimum.at(least, np.repeat(rows, count) * BINS + bins.astype(np.int64), h)
+    least = least.reshape(n, BINS)
+    marks = (mix(least) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    marks[least == _NONE] = 0
+    minima = least.reshape(n, BANDS * IN_BAND, -1).min(axis=2).reshape(n, BANDS, IN_BAND)
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS))
+    for k in range(IN_BAND):
+        keys = mix(keys ^ minima[:, :, k])
+    return marks, keys, (minima != _NONE).any(axis=2)
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp as a signed long of the same bits); no shuffle."""
 
@@ -141,75 +182,190 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
+def sketched(docs: DataFrame, width: int = WIDE) -> DataFrame:
+    """(doc_id, fp, mark, sketch, bands): fingerprints with sketches of the same shingles; ``mark``
+    is a hash of the sketch.  No shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            offsets, data = text_buffers(batch.column(1))
+            for i, j in chunks(offsets):
+                n = j - i
+                found = batch_shingles(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], width)
+                marks, keys, there = _sketches(n, *found)
+                whole = xxh64(marks.ravel(), np.arange(n) * BINS, np.full(n, BINS))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, n), pa.array(_majority(n, *found).view(np.int64)), pa.array(whole.view(np.int64)), pa.array([m.tobytes() for m in marks], pa.binary()),
+                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32), pa.array(keys[there].view(np.int64))),
+                    ],
+                    ["doc_id", "fp", "mark", "sketch", "bands"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fp long, mark long, sketch binary, bands array<long>")
+
+
 # ---------------------------------------------------------------- links
 
 
-def _find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def _unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Adds links between positions x and y; label[i] is the smallest position i is connected to."""
+    while True:
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (nxt := label[label]).tobytes() != label.tobytes():
+            label[:] = nxt
 
 
-def tile_forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest, as pairs of positions, of the links among these fingerprints."""
-    order = np.argsort(np.bitwise_count(fps), kind="stable")
-    fps = fps[order]
-    pops = np.bitwise_count(fps).astype(np.int64)
-    parent, forest = np.arange(len(fps)), []
-    for i in range(0, len(fps), BLOCK):
-        a = fps[i : i + BLOCK]
-        stop = int(np.searchsorted(pops, pops[i + len(a) - 1] + radius, "right"))
-        for j in range(i, stop, BLOCK):
-            if pops[j] - pops[i + len(a) - 1] > radius:
-                break
-            b = fps[j : min(j + BLOCK, stop)]
-            near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
-            for x, y in zip(*(k.tolist() for k in np.nonzero(near)), strict=True):
-                if i + x < j + y and (p := _find(parent, i + x)) != (q := _find(parent, j + y)):
-                    parent[max(p, q)] = min(p, q)
-                    forest.append((int(order[i + x]), int(order[j + y])))
-    return forest
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of the shingle sets behind rows of sketches: equal minima among the places where
+    either has one, less what bytes agree by chance."""
+    some = np.maximum(((a | b) > 0).sum(axis=1), 1)
+    same = ((a == b) & (a > 0)).sum(axis=1) / some
+    return np.where(some > 1, (same - 1 / 255) / (1 - 1 / 255), same)
 
 
-def bands(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of radius + 1 bands that cover the 64 bits."""
+def tile_stars(fps: np.ndarray, radius: int, own: np.ndarray | None = None, sketch: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
+    """Pairs of positions (member, centre) that connect what the links connect: of all
+    fingerprints, or, where ``own`` names two tiles, of those in different ones."""
+    pops = np.bitwise_count(fps).astype(np.int64)
+    label = np.arange(len(fps))
+    sides = [np.flatnonzero(own == k) for k in np.unique(own)] if own is not None else [np.arange(len(fps))] * 2
+    if len(sides) < 2:
+        return []
+    left, right = (s[np.argsort(pops[s], kind="stable")] for s in sides)
+    for i in range(0, len(left), BLOCK):
+        a = left[i : i + BLOCK]
+        low, high = np.searchsorted(pops[right], [pops[a[0]] - radius, pops[a[-1]] + radius + 1])
+        for j in range(max(low, i) if own is None else low, high, 4 * BLOCK):
+            b = right[j : min(j + 4 * BLOCK, high)]
+            x, y = np.nonzero(np.bitwise_count(fps[a][:, None] ^ fps[b][None, :]) <= radius)
+            x, y = a[x], b[y]
+            if sketch is None:
+                _unite(label, x, y)
+                continue
+            for k in range(0, len(x), 8192):
+                p, q = x[k : k + 8192], y[k : k + 8192]
+                new = label[p] != label[q]
+                p, q = p[new], q[new]
+                ok = likeness(sketch[p], sketch[q]) >= least
+                _unite(label, p[ok], q[ok])
+    member = np.flatnonzero(label != np.arange(len(label)))
+    return list(zip(member.tolist(), label[member].tolist(), strict=True))
+
+
+def bands(radius: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(shift, bits) of radius + 1 bands that cover the bits."""
     n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
+    cuts = [bits * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _part(x: Column, shift: int, bits: int) -> Column:
+    return F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+def _by_bands(rows: DataFrame, value: Column, bits: int, radius: int, k1: Column, k2: Column) -> DataFrame:
+    """(node, fp, k1, k2): a row for each band of a value of so many bits, its key joined to k1, k2."""
+    n = radius + 1
+    keys = [F.struct((k1 * n + k + 1).cast("long").alias("k1"), F.shiftleft(k2, size).bitwiseOR(_part(value, shift, size)).alias("k2")) for k, (shift, size) in enumerate(bands(radius, bits))]
+    return rows.select("node", "fp", F.explode(F.array(*keys)).alias("k")).select("node", "fp", "k.k1", "k.k2")
+
+
+def _colliding(light: DataFrame) -> DataFrame:
+    """The rows whose group has more than one node, and the group's size; staged."""
+    return stage(light.join(light.groupBy("k1", "k2").agg(F.count("*").alias("size")).where("size > 1"), ["k1", "k2"]), "colliding")
+
+
+def tiled(rows: DataFrame, tile: int, radius: int) -> DataFrame:
+    """(k1, k2, t, u, own, node, fp): the units of large groups, each row in those its tile is in.
+
+    A node's place in its group's order is its population count, then a hash.
+    """
+    pops = rows.groupBy("k1", "k2", F.bit_count("fp").alias("pop"), "size").agg(F.count("*").alias("c"))
+    pops = pops.groupBy("k1", "k2", "size").agg(F.sort_array(F.collect_list(F.struct("pop", "c"))).alias("pops"))  # 65 at most
+    below = "aggregate(pops, 0L, (a, x) -> a + if(x.pop < {}, x.c, 0L))"
+    at = "element_at(filter(transform(pops, (x, i) -> struct(x.pop AS pop, aggregate(slice(pops, 1, i), 0L, (a, y) -> a + y.c) AS before)), x -> x.before <= {}), -1).pop"
+    held = stage(pops, "population-counts")
+    if held.count() <= 10_000:  # else a join on the group
+        held = F.broadcast(held)
+    dealt = rows.drop("size").join(held, ["k1", "k2"]).withColumn("pop", F.bit_count("fp"))
+    dealt = dealt.withColumn("span", F.greatest(F.lit(tile), F.ceil(F.col("size") / MOST_TILES)).cast("long"))
+    rank = F.expr(below.format("pop")) + F.pmod(F.xxhash64("node"), F.expr("element_at(filter(pops, x -> x.pop = pop), 1).c"))
+    dealt = dealt.withColumn("own", F.floor(rank / F.col("span")))
+    dealt = dealt.withColumn("low", F.expr(at.format("own * span"))).withColumn("high", F.expr(at.format("least((own + 1) * span, size) - 1")))
+    others = F.sequence(F.floor(F.expr(below.format(f"low - {radius}")) / F.col("span")), F.floor((F.expr(below.format(f"high + {radius + 1}")) - 1) / F.col("span")))
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.select("k1", "k2", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "node", "fp")
+
+
+def units(light: DataFrame, radius: int, tile: int = TILE, cut: bool = True) -> DataFrame:
+    """(k1, k2, t, u, own, node, fp): all units of the groups of (node, fp, k1, k2)."""
+    zero = F.lit(0).cast("long")
+    dealt = _colliding(light)
+    out = dealt.where(F.col("size") <= tile).select("k1", "k2", zero.alias("t"), zero.alias("u"), zero.alias("own"), "node", "fp")
+    large = dealt.where(F.col("size") > tile)
+    if large.isEmpty():
+        return out
+    if cut and not (huge := large.where(F.col("size") > CUT_AGAIN * tile)).isEmpty():
+        for k, (shift, size) in enumerate(bands(radius)):  # what is left of the bits once a band is equal
+            rest = F.shiftleft(F.shiftrightunsigned("fp", shift + size), shift).bitwiseOR(_part(F.col("fp"), 0, shift)) if shift + size < 64 else _part(F.col("fp"), 0, shift)
+            again = _by_bands(huge.where(F.col("k1") == k + 1), rest, 64 - size, radius, F.col("k1"), F.col("k2"))
+            out = out.unionByName(units(again, radius, tile, cut=False))
+        large = large.where(F.col("size") <= CUT_AGAIN * tile)
+    return out.unionByName(tiled(large, tile, radius))
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b): edges that connect what links of at most ``radius`` bits connect.
 
     ``nodes``: (node, fp), distinct fingerprints.
     """
-    banded = nodes.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1).cast("long")).alias("value")) for k, (s, n) in enumerate(bands(radius))])).alias("b")).select("node", "fp", "b.band", "b.value")
-    sizes = banded.groupBy("band", "value").count().where("count > 1").select("band", "value", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    # a node of tile t takes part in the units (t, u) and (u, t) for every tile u
-    units = banded.join(sizes, ["band", "value"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    units = units.select("band", "value", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "node", "fp")
+    zero = F.lit(0).cast("long")
+    return _compare(units(_by_bands(nodes, F.col("fp"), 64, radius, zero, zero), radius, tile), radius)
+
+
+def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(a, b): edges that connect what links of ``similar`` connect.  ``nodes``: (node, fp, sketch,
+    bands); a sketch goes only to the units that its node is in."""
+    light = nodes.select("node", "fp", F.lit(0).cast("long").alias("k1"), F.explode("bands").alias("k2"))
+    dealt = units(light, SIMILAR_RADIUS, tile, cut=False).join(nodes.select("node", "sketch"), "node")
+    return _compare(dealt, SIMILAR_RADIUS, similarity - SLACK)
+
+
+def _compare(dealt: DataFrame, radius: int, least: float | None = None) -> DataFrame:
+    own = ["own", "node", "fp", *(["sketch"] if least is not None else [])]
 
     def compare(batches):
-        for batch in _groups(batches, 4):
-            forest = tile_forest(batch[1].view(np.uint64), radius)
-            if forest:
-                pairs = batch[0][np.array(forest)]
+        for (t, u), cols in _groups(batches, 4):
+            sketch = cols[3] if least is not None else None
+            stars = tile_stars(cols[2].view(np.uint64), radius, cols[0] if t != u else None, sketch, least or 0.0)
+            if stars:
+                pairs = cols[1][np.array(stars)]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], ["a", "b"])
 
-    keys = ["band", "value", "t", "u"]
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lean(compare), "a long, b long").distinct()
+    keys = ["k1", "k2", "t", "u"]
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select(*keys, *own).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lean(compare), "a long, b long").where("a != b").distinct()
 
 
 def _groups(batches, n_keys: int):
-    """(node, fp) arrays of each run of equal keys; batches come sorted by the keys."""
+    """((t, u), further columns) of each run of equal keys; batches come sorted by the keys."""
     held, last = [], None
+
+    def array(column):
+        if pa.types.is_integer(column.type):
+            return column.to_numpy()
+        return text_buffers(column)[1].reshape(-1, BINS)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        cols = [array(batch.column(i)) for i in range(batch.num_columns)]
         change = np.zeros(batch.num_rows, bool)
         for c in cols[:n_keys]:
             change[1:] |= c[1:] != c[:-1]
@@ -217,15 +373,15 @@ def _groups(batches, n_keys: int):
         for i, j in zip(cuts, cuts[1:], strict=False):
             key = tuple(int(c[i]) for c in cols[:n_keys])
             if key != last and held:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                yield last[2:], tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
             last = key
-            held.append((cols[n_keys][i:j], cols[n_keys + 1][i:j]))
+            held.append(tuple(c[i:j] for c in cols[n_keys:]))
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield last[2:], tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable, for every node that has an edge.
 
     Large-star, then small-star, each a grouped minimum and a join; every round's edges are
@@ -233,19 +389,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = stage(edges, "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
         edges = stage(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -253,15 +407,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     """doc_id, fp, component_id: one row for each row of ``docs``."""
     fps = stage(fingerprints(docs, width), "fingerprints")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    found = components(links(nodes, radius))
+    return _named(fps, nodes, components(links(nodes, radius)), ["fp"])
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDE) -> DataFrame:
+    """doc_id, fp, component_id: as ``near_duplicates``, by similarity of the texts' shingle sets."""
+    fps = stage(sketched(docs, width), "sketches")
+    nodes = stage(fps.groupBy("fp", "mark").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")).where("node is not null"), "nodes")
+    return _named(fps, nodes, components(similar_links(nodes, similarity)), ["fp", "mark"])
+
+
+def _named(fps: DataFrame, nodes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     # by fingerprint: a node's name is an identifier, which other fingerprints may carry as well
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = nodes.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
+    return fps.select("doc_id", *keys).join(named, keys, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def remove(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document that names it, and rows
-    without identifier; all columns as they were."""
-    found = stage(near_duplicates(docs, width, radius), "components")
+def remove(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component (of ``similar``, unless others are given)
+    the document that names it, and rows without identifier; all columns as they were."""
+    found = stage(similar(docs) if found is None else found, "components")
     gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stay")).where("not stay").select("doc_id")
     return drop_ids(docs, gone)
