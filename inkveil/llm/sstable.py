@@ -12,14 +12,18 @@ file per range.  A file holds, in this order: data blocks, index, Bloom filter,
   one block.  The Bloom filter tells most absent keys without opening any.
 * Footer: fixed length, at the end, with the places of index and filter and the totals.
 
+Ranges hold about equal bytes of text.  A cut is an identifier; one that holds more rows than a range
+should (a repeated identifier, or none) is cut again by a hash of the text.
+
 Cases: null text counts as empty (the end id alone); repeated identifiers are all kept, next to one
-another, by number of ids and then by bytes; an empty table gives no files and no rows; further
+another, by a hash of their text and then by ids; an empty table gives no files and no rows; further
 columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import struct
 import uuid
 import zlib
@@ -28,7 +32,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, stage
@@ -39,6 +43,8 @@ RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQB8s")
 END_ID = 1
+#: Text that a shard holds at most, about; fine ranges a shard, and documents they are sized by.
+SHARD_BYTES, PIECES, DOCS_PER_SHARD = 256 << 20, 8, 65536
 
 # ---------------------------------------------------------------- file format
 
@@ -168,6 +174,7 @@ _encoders: dict = {}
 #: Entries of a worker's caches; a full cache is emptied, which costs time and changes no result.
 CACHE = 250_000
 _PLAIN = 0x250
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
@@ -185,9 +192,14 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        shape = [[(x["type"], x.get("pattern", {}).get("Regex")) for x in (spec.get(part) or {}).get(of, [])] for part, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        #: whether words can be taken one by one, as below; another vocabulary's texts are taken whole
+        self.by_word = shape == [[("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)], [("Split", PATTERN), ("ByteLevel", None)]]
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.pattern = regex.compile(PATTERN)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -217,6 +229,8 @@ class WordEncoder:
         return b"".join(map(self.run, self.pattern.findall(text)))
 
     def text(self, raw: bytes) -> bytes:
+        if not self.by_word:
+            return self.pack(self.whole.encode(raw.decode(), add_special_tokens=False).ids)
         words, known = raw.split(), self.words
         ids = list(map(known.get, words))
         if None in ids:
@@ -236,36 +250,84 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def packed(enc: WordEncoder, texts: pa.Array, end_id: int) -> list[bytes]:
+    """Each text's ids and ``end_id``, as little-endian integers of the encoder's width."""
+    end = enc.pack([end_id])
+    return [enc.text(t or b"") + end for t in texts.cast(pa.binary()).to_pylist()]
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids as packed bytes), ``end_id`` appended; no shuffle."""
 
     def run(batches):
         enc = encoder(tokenizer)
-        end = enc.pack([end_id])
         for batch in batches:
-            ids = [enc.text(t or b"") + end for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids = packed(enc, batch.column(1), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // enc.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+# ---------------------------------------------------------------- ranges
+
+_LOWEST = -(2**63)
+
+
+class Ranges:
+    """Cuts between ranges, in order; a cut that comes m times leaves m ranges to its identifier."""
+
+    def __init__(self, cuts: list[float]):
+        self.cuts = np.array(sorted(min(max(int(c), _LOWEST), -_LOWEST - 1) for c in cuts), np.int64)
+
+    def of(self, ids: pa.Array, salt: np.ndarray) -> np.ndarray:
+        """The range of each identifier; ``salt``: a number from 0 to 1 for each row."""
+        d = ids.fill_null(_LOWEST).to_numpy(zero_copy_only=False)
+        low, high = (np.searchsorted(self.cuts, d, side) for side in ("left", "right"))
+        return np.where(high > low, low + 1 + (salt * (high - low)).astype(np.int64), high)
+
+
+def _salt(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 30)).cast("int")
+
+
+def ranges_of(docs: DataFrame, n_shards: int | None, shard_bytes: int) -> tuple[Ranges, np.ndarray]:
+    """(fine ranges, the shard of each).  Quantiles of the identifiers, from a sketch, give several
+    ranges a shard; neighbours are then joined by bytes of text, which each task adds up."""
+    least = 4 * docs.sparkSession.sparkContext.defaultParallelism if n_shards is None else n_shards
+    fine = PIECES * max(least, -(-docs.count() // DOCS_PER_SHARD) if n_shards is None else 0)
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("double"), F.lit(float(_LOWEST))).alias("k"))
+    ranges = Ranges(keys.approxQuantile("k", [i / fine for i in range(1, fine)], 0.1 / fine) if fine > 1 else [])
+    n = len(ranges.cuts) + 1
+
+    def add(batches):
+        total = np.zeros(n)
+        for batch in batches:
+            np.add.at(total, ranges.of(batch.column(0), batch.column(1).to_numpy() / (1 << 30)), batch.column(2).to_numpy())
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["range", "bytes"])
+
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _salt(F.col("text")).alias("salt"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("double").alias("bytes"))
+    found = sizes.mapInArrow(add, "range int, bytes double").groupBy("range").agg(F.sum("bytes").alias("bytes")).toPandas()
+    total = np.zeros(n)
+    total[found["range"].to_numpy()] = found["bytes"].to_numpy()
+    shards = n_shards or max(least, int(total.sum() // shard_bytes) + 1)
+    middle = np.cumsum(total) - total / 2
+    return ranges, np.minimum((middle * shards / max(total.sum(), 1)).astype(np.int32), shards - 1)
+
+
 # ---------------------------------------------------------------- tables
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str | None = None, n_shards: int | None = None, end_id: int = END_ID, docs_per_shard: int = 65536) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str | None = None, n_shards: int | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the shards; returns (shard, path, n_docs, n_tokens), one row a file, ascending ranges.
 
-    One pass over the identifiers finds the ranges (quantiles from a sketch), one over the texts
-    encodes them; only packed ids are shuffled.  Each file is written under a name of the attempt
-    and then renamed, so that a repeated task replaces like with like.
+    Two passes over identifiers and lengths find the ranges, one over the texts encodes them; only
+    packed ids are shuffled, each shard to a partition of its own.  Each file is written under a name
+    of the attempt and then renamed, so that a repeated task replaces like with like.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "sst")
-    if n_shards is None:
-        n_shards = max(4 * spark.sparkContext.defaultParallelism, -(-docs.count() // docs_per_shard))
-    keys = docs.select(F.col("doc_id").cast("double").alias("k")).where("k is not null")
-    cuts = sorted(set(keys.approxQuantile("k", [i / n_shards for i in range(1, n_shards)], 0.1 / n_shards))) if n_shards > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<long>")
+    ranges, shard_of = ranges_of(docs, n_shards, shard_bytes)
     width = encoder(tokenizer).width
 
     def files(batches):
@@ -294,8 +356,17 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, n_shards:
         cols = list(zip(*done, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["shard", "path", "n_docs", "n_tokens"])
 
-    dealt = encode(docs, tokenizer, end_id).select(F.when(F.col("doc_id").isNull(), 0).otherwise(F.aggregate(bounds, F.lit(0), lambda n, b: n + (F.col("doc_id") >= b).cast("int"))).alias("shard"), "doc_id", "ids")
-    return stage(dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.length("ids"), "ids").mapInArrow(files, "shard int, path string, n_docs long, n_tokens long"), "sst-files")
+    def place(batches):
+        enc = encoder(tokenizer)
+        for batch in batches:
+            salt = batch.column(1)
+            shard = shard_of[ranges.of(batch.column(0), salt.to_numpy() / (1 << 30))]
+            ids = packed(enc, batch.column(2), end_id)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), pa.array(ids, pa.binary()), salt], ["shard", "doc_id", "ids", "salt"])
+
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _salt(F.col("text")).alias("salt"), "text").mapInArrow(place, "shard int, doc_id long, ids binary, salt int")
+    ordered = dealt.repartitionById(int(shard_of.max()) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "salt", "ids")
+    return stage(ordered.mapInArrow(files, "shard int, path string, n_docs long, n_tokens long"), "sst-files")
 
 
 def read(spark: SparkSession, files: DataFrame, with_ids: bool = True) -> DataFrame:
