@@ -17,6 +17,7 @@ repetitions included; an empty table gives no rows; further columns are not read
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -30,12 +31,14 @@ CACHE = 500_000
 #: Bytes of new pre-tokens merged at once.
 BATCH_BYTES = 1 << 20
 NONE = np.int64(1) << 40
+#: Bytes from which on a pre-token is merged by itself, in time that grows with its length.
+LONG = 2048
 
 #: White space as the library's patterns have it.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 OTHER = SPACE.replace("[", "[^")
 _UNITS = regex.compile(f"{SPACE}*{OTHER}+|{SPACE}+")
-#: The pre-tokenizer's pattern.
+#: The pattern of byte-level pre-tokenizers (a vocabulary that asks for another is refused).
 _PRE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{SPACE})[^\p{{L}}\p{{N}}])+|{SPACE}+(?!{OTHER})|{SPACE}+")
 
 
@@ -52,7 +55,9 @@ class MergeTable:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or (before.get("type"), before.get("use_regex"), before.get("add_prefix_space")) != ("ByteLevel", True, False):
+            raise ValueError("not a byte-level vocabulary with the pre-tokenizer's usual pattern and nothing put in front")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         ids = model["vocab"]
         self.start = np.array([ids[s] for s in byte_symbols()], np.int64)
@@ -60,6 +65,7 @@ class MergeTable:
         left = np.array([ids[a] for a, _ in pairs], np.int64)
         right = np.array([ids[b] for _, b in pairs], np.int64)
         keys = (left << 20) | right
+        self.left, self.right = left, right
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.bits = max(4, (4 * len(keys)).bit_length())
         size = 1 << self.bits
@@ -103,6 +109,13 @@ def count_symbols(table: MergeTable, words: list[bytes]) -> np.ndarray:
     ranks = np.full(len(symbols), NONE, np.int64)
     inner = np.flatnonzero(~last)
     ranks[inner] = table.rank(symbols[inner], symbols[inner + 1])
+    ready = np.zeros(len(words), bool)
+    for w in np.flatnonzero(lengths > LONG).tolist():  # one sequence's many rounds would hold up the others
+        out[w] = count_long(table, words[w])
+        ready[w] = True
+    if ready.any():
+        live = ~ready[owner]
+        symbols, owner, ranks = symbols[live], owner[live], ranks[live]
     while len(symbols):
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         least = np.minimum.reduceat(ranks, first)
@@ -135,6 +148,51 @@ def count_symbols(table: MergeTable, words: list[bytes]) -> np.ndarray:
     return out
 
 
+def count_long(table: MergeTable, word: bytes) -> int:
+    """The same for one long sequence, whose rounds touch only the places of their pair: symbols are
+    linked, and places are kept by the rank of the pair that begins there.  A rank is complete when
+    its turn comes, as new pairs always rank after the merge that made them."""
+    symbols = table.start[np.frombuffer(word, np.uint8)].copy()
+    n = len(symbols)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    left, places, queue = n, {}, []
+
+    def add(at: np.ndarray) -> None:
+        at = at[(at >= 0) & (after[np.maximum(at, 0)] < n)]
+        ranks = table.rank(symbols[at], symbols[after[at]])
+        at, ranks = at[ranks < NONE], ranks[ranks < NONE]
+        if not len(at):
+            return
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        new, first = np.unique(ranks, return_index=True)
+        for r, some in zip(new.tolist(), np.split(at, first[1:]), strict=True):
+            if r not in places:
+                places[r] = []
+                heapq.heappush(queue, r)
+            places[r].append(some)
+
+    add(np.arange(n))
+    while queue:
+        r = heapq.heappop(queue)
+        at = np.unique(np.concatenate(places.pop(r)))
+        at = at[(symbols[at] == table.left[r]) & (after[at] < n)]
+        at = at[symbols[after[at]] == table.right[r]]
+        # in a run of neighbouring pairs (of equal symbols) every other one merges
+        linked = np.zeros(len(at), bool)
+        linked[1:] = after[at[:-1]] == at[1:]
+        run = np.maximum.accumulate(np.where(linked, 0, np.arange(len(at))))
+        at = at[(np.arange(len(at)) - run) % 2 == 0]
+        gone = after[at]
+        symbols[at], symbols[gone] = table.merged[r], -1
+        after[at] = after[gone]
+        follow = after[at]
+        before[follow[follow < n]] = at[follow < n]
+        left -= len(at)
+        add(np.unique(np.concatenate([at, before[at]])))
+    return left
+
+
 class Counter:
     def __init__(self, path: str):
         self.table = MergeTable(path)
@@ -164,7 +222,7 @@ class Counter:
             self.pre.clear()
         special, cut = [0] * len(texts), []
         for i, text in enumerate(texts):
-            if self.cut and "<|" in text:
+            if self.cut and any(x in text for x in self.table.special):
                 special[i] = len(self.cut.findall(text))
                 cut.append([u for part in self.cut.split(text) for u in _UNITS.findall(part)])
             else:
