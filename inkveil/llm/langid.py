@@ -20,12 +20,12 @@ that repeat are treated alike; an empty table gives no rows; further columns are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +36,14 @@ ORDERS = (1, 2, 3)
 #: Sampled training documents for each language (the expected number; a sample twice as large is cut).
 SAMPLE = 600
 UNKNOWN = "und"
+#: ``keep_known``: share of the way from chance to certainty that a score must have gone.
+LEAST = 0.2
 #: Bytes of texts, or characters of one longer text, whose n-grams are held at once.
 SLICE = 1 << 18
 #: Features are multiplied by it, so that FTRL's steps suit shares of an n-gram among thousands.
 SCALE = 30.0
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode's category L: neither digits and numerals in any form nor marks.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -162,7 +165,7 @@ def statistics(training: DataFrame) -> tuple[int, np.ndarray, list[tuple[str, in
     sample: dict[str, list] = {}
     for r in found.where("lang is not null").select("lang", "fold", "own", "counts").collect():
         sample.setdefault(r["lang"], []).append((r["lang"], r["fold"], r["own"], r["counts"]))
-    return total, df, [(k, f, np.array(o, np.int64), np.array(c, np.int64)) for rows in sample.values() for k, f, o, c in sorted(rows)[: 2 * SAMPLE]]
+    return total, df, [(k, f, np.array(o, np.int64), np.array(c, np.int64)) for lang in sorted(sample) for k, f, o, c in sorted(sample[lang])[: 2 * SAMPLE]]
 
 
 def ftrl(sample, idf: np.ndarray, languages: list[str], alpha=0.3, beta=1.0, l1=0.003, l2=0.1, epochs=3, seed=5):
@@ -194,12 +197,18 @@ def ftrl(sample, idf: np.ndarray, languages: list[str], alpha=0.3, beta=1.0, l1=
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of the logits with the least log-loss, by golden section on its logarithm."""
+    """The divisor of the logits with the least log-loss, by golden section on its logarithm.
+
+    The rule of succession holds for the labels: of n texts, one more than seen is taken to be of any
+    language, so that a sample without errors gives no certainty beyond its size.
+    """
+    doubt = 1 / (len(labels) + 2)
 
     def loss(t):
         s = logits / np.exp(t)
         top = s.max(axis=1)
-        return float(np.mean(top + np.log(np.exp(s - top[:, None]).sum(axis=1)) - s[np.arange(len(s)), labels]))
+        right = (1 - doubt) * s[np.arange(len(s)), labels] + doubt * s.mean(axis=1)
+        return float(np.mean(top + np.log(np.exp(s - top[:, None]).sum(axis=1)) - right))
 
     low, high, g = -4.0, 4.0, (5**0.5 - 1) / 2
     for _ in range(60):
@@ -256,9 +265,15 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of at least ``least``, columns as
-    they were; trained on ``docs``."""
+def least_score(languages: int, least: float = LEAST) -> float:
+    """The score from which on a language is no guess: ``least`` of the way from chance, which of k
+    languages scores 1 / k, to 1.  With one language there is nothing to guess."""
+    return 1 / languages + least * (1 - 1 / languages)
+
+
+def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least ``least_score``, columns as they
+    were; trained on ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batches):
@@ -273,7 +288,7 @@ def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
                     continue
                 s = held.read(texts[i:j])
                 top = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-                ok += [bool(_LETTER.search(t)) and p >= least for t, p in zip(texts[i:j], top.tolist(), strict=True)]
+                ok += [bool(_LETTER.search(t)) and p >= least_score(len(held.languages), least) for t, p in zip(texts[i:j], top.tolist(), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(lean(run), docs.schema)
