@@ -33,8 +33,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffers
+from .common import chunks, lean, text_buffers
 
+#: Bytes of text whose words' features are held at once (a longer text is handled alone).
+CHUNK = 1 << 18
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
@@ -55,6 +57,12 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """At most 255, whatever zeros stand in front."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost, non-overlapping: every match has one @, with the run of local characters before it."""
     out, free, at = [], 0, text.find("@")
@@ -75,7 +83,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", s, e) for s, e in emails(text)] if "@" in text else []
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(octet(p) for p in m[0].split(".")):
                 out.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             d = m[0].replace(" ", "").replace("-", "")
@@ -482,20 +490,22 @@ def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
             n = len(offsets) - 1
             counts = {k: np.zeros(n, np.int64) for k in KINDS}
             digests, shown, found = [empty] * n, [""] * n, [[] for _ in range(n)]
-            texts = batch.column(1).take(pa.array(some)).to_pylist()
-            base = [base_spans(t) for t in texts]
-            for i, spans, extra in zip(some.tolist(), base, added_spans(field, texts, base), strict=True):
-                for k, _, _ in spans:
-                    counts[k][i] += 1
-                digests[i] = hashlib.sha256(_joined(spans).encode()).hexdigest()
-                every = sorted([(*x, False) for x in spans] + [(*x, True) for x in extra], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
-                shown[i] = _joined(x[:3] for x in every)
-                found[i] = [{"kind": k, "start": s, "end": e, "added": a} for k, s, e, a in every]
+            for a, b in chunks(offsets, CHUNK):
+                rows = some[(some >= a) & (some < b)]
+                texts = batch.column(1).take(pa.array(rows)).to_pylist()
+                base = [base_spans(t) for t in texts]
+                for i, spans, extra in zip(rows.tolist(), base, added_spans(field, texts, base), strict=True):
+                    for k, _, _ in spans:
+                        counts[k][i] += 1
+                    digests[i] = hashlib.sha256(_joined(spans).encode()).hexdigest()
+                    every = sorted([(*x, False) for x in spans] + [(*x, True) for x in extra], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+                    shown[i] = _joined(x[:3] for x in every)
+                    found[i] = [{"kind": k, "start": s, "end": e, "added": a} for k, s, e, a in every]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(counts[k]) for k in KINDS), pa.array(digests, pa.string()), pa.array(shown, pa.string()), pa.array(found, kind)],
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind: string, start: long, end: long, added: boolean>>"
+        lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind: string, start: long, end: long, added: boolean>>"
     )

@@ -34,6 +34,8 @@ from .common import CHUNK_BYTES, chunks, span_hashes, spans_of, stage, text_buff
 #: Labelled documents that the classifier is fitted on (expected number).
 SAMPLE = 20_000
 KEEP = 0.5
+#: Sites (host and path) that are broadcast; more are joined in so many copies each.
+MOST_SITES, SALTS = 200_000, 16
 
 _CLASSES = {
     "lower": range(0x61, 0x7B),
@@ -190,6 +192,12 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     k = strength(both, F.col("host_posterior"))
     sites = stage(both.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior")), "sites")
     shift = _logit(F.col("p_doc")) + _logit(F.col("path_posterior")) - _logit(F.lit(mean))
-    joined = evidence.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+    if sites.count() <= MOST_SITES:
+        joined = evidence.join(F.broadcast(sites), same)
+    else:  # a site may hold a third of the rows: each of its rows meets one of SALTS copies of it
+        salt = F.pmod(F.xxhash64("doc_id", "p_doc"), F.lit(SALTS)).cast("int")
+        copies = sites.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = evidence.withColumn("salt", salt).join(copies, same & (F.col("salt") == F.col("copy")))
     quality = 1 / (1 + F.exp(-shift))
     return joined.select("doc_id", "host", "path", "p_doc", "host_posterior", "path_posterior", quality.alias("quality"), (quality >= KEEP).alias("keep"))
