@@ -43,9 +43,9 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE, MOST_TILES, BLOCK = 2048, 64, 256
 #: A group of more tiles than this is cut by further bands first.
 CUT_AGAIN = 64
-#: ``similar``: words of a shingle; least similarity; the sketch's error (two standard deviations at
-#: 0.8); bits that fingerprints of similar texts may differ by (10 on average at 0.8, 3 deviation).
-WIDE, SIMILARITY, SLACK, SIMILAR_RADIUS = 5, 0.8, 0.05, 16
+#: ``similar``: words of a shingle; least similarity; the sketch's error (two standard deviations of
+#: 0.015 at 0.8); bits that fingerprints of similar texts may differ by (10 on average at 0.8, 3 deviation).
+WIDE, SIMILARITY, SLACK, SIMILAR_RADIUS = 5, 0.8, 0.03, 16
 #: Minima of a sketch, and of a band's key: 10 bands of 3 minima (each over 8 of the sketch's) miss a
 #: pair of similarity 0.8 once in 1300.
 BINS, BANDS, IN_BAND = 240, 10, 3
