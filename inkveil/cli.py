@@ -29,6 +29,7 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--model", required=True)
             c.add_argument("--judge-model")
             c.add_argument("--resume", action="store_true")
+            c.add_argument("--checkpoint-every", type=int)
     m = sub.add_parser("merge")
     m.add_argument("--inputs", nargs="+", required=True)
     m.add_argument("--output", required=True)
@@ -39,8 +40,11 @@ def run(spark: SparkSession, argv: list[str], generate: attack.Generate | None =
     """Runs a command, writes its result as JSON under --output and returns it."""
     a = _parser().parse_args(argv)
     if a.command == "merge":
-        out = io.merge_shards([spark.read.parquet(x) for x in a.inputs])
-        io.write_report(out, a.output)
+        parts = [spark.read.parquet(x) for x in a.inputs]
+        judged = {"artifact_kind", "baseline", "winner"} <= set(parts[0].columns)
+        out = io.merge_and_summarise(parts) if judged else {"rows": io.merge_shards(parts)}
+        for name, df in out.items():
+            io.write_report(df, f"{a.output}/{name}")
         return out
     rows = io.shard(io.read_manifest(spark, a.manifest), a.start_index, a.end_index, a.limit)
     rows = rows.withColumnRenamed("artifact_kind", "manifest_kind")
@@ -58,14 +62,18 @@ def run(spark: SparkSession, argv: list[str], generate: attack.Generate | None =
         return out
     else:
         call = generate or attack.http_generate(a.host)
-        prepared = E.prepare(rows, text)
         if a.command == "attack":
-            work = lambda todo: E.reconstruct(E.routed("routed", text, a.salt)(todo), "index", call, a.model)
-            done = io.resume(prepared, f"{a.output}/attempts", work) if a.resume else work(prepared)
-            out = attack.attempt_rates(done, ["placeholder_type"])
+            work = lambda todo: E.reconstruct(E.routed("routed", text, a.salt)(E.prepare(todo, text)), "index", call, a.model)
+        else:
+            work = lambda todo: E.benchmark(E.prepare(todo, text), "index", [E.routed("routed", text, a.salt), E.naive(text)], call, a.model, a.judge_model or a.model, text=text)
+        if a.resume:
+            guard = io.manifest_hash(rows).first()[0]
+            io.log(spark, f"{a.output}/log", f"{a.command} manifest={a.manifest} resume")
+            done = io.resume(rows, f"{a.output}/{a.command}-rows", work, guard=guard, every=a.checkpoint_every)
+            io.log(spark, f"{a.output}/log", f"{a.command} rows={done.count()}")
         else:
-            judged = E.benchmark(prepared, "index", [E.routed("routed", text, a.salt), E.naive(text)], call, a.model, a.judge_model or a.model, text=text)
-            out = E.benchmark_summary(judged)
+            done = work(rows)
+        out = attack.attempt_rates(done, ["placeholder_type"]) if a.command == "attack" else E.benchmark_summary(done)
     io.write_report(out, f"{a.output}/{a.command}")
     return out
 

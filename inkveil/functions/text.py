@@ -5,6 +5,8 @@ Everything here is built from Spark's own functions, so plans stay in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def once(x: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, x)
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def sql_text(x: str) -> str:
     """A string as a SQL literal."""
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import catalog as C
 
@@ -36,15 +41,32 @@ def metrics(counts: DataFrame) -> DataFrame:
     })
 
 
-def curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(score, pos, neg, tp, fp): cumulative counts at each distinct score, from the highest.
+RANGES = 64
+
+
+def running(rows: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds running totals (column -> name) of rows in the order of a numeric column, ties in one
+    step: ``rows`` has each value once.
 
-    Rows are counted by score first, so the ordered window sees distinct scores only; round
-    continuous scores beforehand to bound their number.
+    Values are cut into ranges at approximate quantiles.  Totals run within a range and start at the
+    totals of the ranges before, of which there are RANGES + 1, so no task orders all rows.
     """
+    cuts = sorted(set(rows.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.005)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    own, totals = "__range", rows.withColumn("__range", part)
+    by = totals.groupBy(own).agg(*[F.sum(c).alias(f"__{n}") for c, n in sums.items()])
+    before = Window.orderBy(F.desc(own) if descending else F.asc(own)).rowsBetween(Window.unboundedPreceding, -1)
+    by = by.select(own, *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums.values()])
+    within = Window.partitionBy(own).orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = totals.join(F.broadcast(by), own)
+    return out.select(*rows.columns, *[(F.sum(c).over(within) + F.col(f"__{n}")).alias(n) for c, n in sums.items()])
+
+
+def curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """(score, pos, neg, tp, fp): cumulative counts at each distinct score, from the highest.  Rows
+    are counted by score first, and the distinct scores are ordered range by range."""
     by = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    return running(by, "score", {"pos": "tp", "neg": "fp"}, descending=True)
 
 
 def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -65,8 +87,8 @@ def operating_points(df: DataFrame, label: str = "label", score: str = "score",
     """Threshold of the best F1 (the lowest on ties), recall at 95 % precision, precision at 90 %
     recall; null where unattainable."""
     c = curve(df, label, score)
-    total = F.sum("pos").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.lit(0)))
-    points = c.withColumn("p", total).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), _rate(F.col("tp"), F.col("p")).alias("recall"))
+    total = df.agg(F.count_if(F.col(label) == 1).alias("p"))
+    points = c.crossJoin(F.broadcast(total)).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), _rate(F.col("tp"), F.col("p")).alias("recall"))
     points = points.withColumn("f1", _rate(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     best = F.max(F.struct("f1", (-F.col("score")).alias("s")))
     return points.agg(
@@ -119,8 +141,8 @@ def strat_weights(df: DataFrame, strata: list[str]) -> DataFrame:
 
 
 def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> DataFrame:
-    """A sample of about n rows with chances in proportion to their weight, with replacement: adds
-    copies (Poisson by the expected number)."""
+    """A sample of about n rows with chances in proportion to their weight: adds copies, the expected
+    number rounded down, and one more with the chance of what is left."""
     total = df.agg(F.sum(weight).alias("__total"))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / float(1 << 53)
     rate = n * F.col(weight) / F.col("__total")
@@ -193,6 +215,61 @@ def with_terms(df: DataFrame, text: str = "text", kind: str = "word") -> DataFra
     return df.withColumn("terms", word_terms(F.col(text)) if kind == "word" else char_terms(F.col(text)))
 
 
+# ---------------------------------------------------------------- inference
+
+#: Logits of a batch of texts, one list of numbers a text.
+Predict = Callable[[list[str]], list[list[float]]]
+
+
+def infer(df: DataFrame, load: Callable[[], Predict], text: str = "text", batch: int = 64) -> DataFrame:
+    """Adds pred (the class of the largest logit) and score (the softmax probability of class 1, or of
+    the predicted class if there is no class 1).
+
+    ``load`` gives the model, tokenising and truncation included, and is called once a task.  Texts
+    come in batches; null texts count as empty.
+    """
+    at, schema = df.columns.index(text), T.StructType([*df.schema.fields, T.StructField("pred", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        predict = None
+        for rows in batches:
+            predict = predict or load()
+            texts, pred, score = [t or "" for t in rows.column(at).to_pylist()], [], []
+            for i in range(0, len(texts), batch):
+                logits = np.asarray(predict(texts[i : i + batch]), dtype=np.float64)
+                e = np.exp(logits - logits.max(axis=1, keepdims=True))
+                p, best = e / e.sum(axis=1, keepdims=True), logits.argmax(axis=1)
+                pred += best.tolist()
+                score += (p[:, 1] if p.shape[1] > 1 else p[:, 0]).tolist()
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.int32()), pa.array(score, pa.float64())], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def experiment_report(predicted: DataFrame, by: list[str], label: str = "label") -> DataFrame:
+    """Confusion counts and metrics of each experiment, as one table."""
+    return metrics(confusion(predicted, label, by=by))
+
+
+def collate(intervals: list[tuple[str, DataFrame]], key: str = "experiment_id") -> DataFrame:
+    """Intervals (key, metric, mean, ci_lo, ci_hi) of several phases: one row an experiment and phase
+    with a map from metric to its interval; experiments without any are left out."""
+    out = None
+    for phase, rows in intervals:
+        by = rows.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", F.struct("mean", "ci_lo", "ci_hi").alias("ci"))))).alias("bootstrap_ci"))
+        by = by.select(F.lit(phase).alias("phase"), key, "bootstrap_ci")
+        out = by if out is None else out.unionByName(by)
+    return out
+
+
+def grid_status(spark: SparkSession, finished: DataFrame) -> DataFrame:
+    """The grid with each experiment's status: done, "failed (code)" or missing.  ``finished``:
+    experiment_id, return_code, accuracy; of repeated runs the best code and figure count."""
+    last = finished.groupBy("experiment_id").agg(F.min(F.struct(F.col("return_code").alias("rc"), (-F.coalesce(F.col("accuracy").cast("double"), F.lit(-1.0))).alias("a"), "accuracy")).alias("r"))
+    status = F.when(F.col("r").isNull(), "missing").when(F.col("r.rc") == 0, "done").otherwise(F.concat(F.lit("failed ("), F.col("r.rc").cast("string"), F.lit(")")))
+    return experiment_grid(spark).join(last, "experiment_id", "left").select("model_name", "pooling", "experiment_id", status.alias("status"), F.col("r.accuracy").alias("accuracy"))
+
+
 # ---------------------------------------------------------------- pooling, experiments
 
 

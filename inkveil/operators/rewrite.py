@@ -4,25 +4,32 @@ A replacement is a list of pieces: literal text, or a slot (type, value) for a p
 document's pieces are laid out first and its slots named afterwards, in the order of their first
 appearance: equal slots get equal names, and a name that another slot holds already is drawn again.
 Names are the first four hexadecimal digits of sha256(salt:type:value), then of
-sha256(salt:type:value:1) and so on, so that a salt makes a document's names reproducible.
+sha256(salt:type:value:1) and so on, so that a salt makes a document's names reproducible.  Layouts
+are expressions; naming needs a dictionary for each document and runs in Arrow batches, in time that
+grows with the document.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import catalog as C
-from ..functions.text import col, extract_all, found, lines, once, slice_text, strip
+from ..functions.ship import ship
+from ..functions.text import col, extract_all, found, let, lines, once, slice_text, strip
 from .detect import raw_spans, resolve
+from .detect import spans as find_spans
 
 PIECES = "array<struct<lit:string,type:string,value:string>>"
 NAMED = "array<struct<type:string,value:string,name:string>>"
-#: Names tried for a slot; a document would need thousands of slots of one type to use them up.
-TRIES = 8
 DEFAULT_SALT = "inkveil"
+#: Hexadecimal digits of a name, and draws after which it gets as many more: no document is too long.
+DIGITS, DRAWS = 4, 64
 
 
 # ---------------------------------------------------------------- pieces
@@ -38,27 +45,53 @@ def slot(kind: Column | str, value: Column) -> Column:
     return F.array(F.struct(F.lit(None).cast("string").alias("lit"), kind.alias("type"), value.alias("value")))
 
 
-def name(salt: Column, kind: Column, value: Column, attempt: int = 0) -> Column:
-    seed = F.concat_ws(":", salt, kind, value, *([F.lit(str(attempt))] if attempt else []))
-    return F.concat(F.lit("<"), kind, F.lit(":"), F.substring(F.sha2(seed, 256), 1, 4), F.lit(">"))
-
-
-def name_slots(pieces: Column, salt: Column, known: Column | None = None) -> Column:
-    """NAMED entries of the document's slots, continuing those already ``known``."""
-    slots = F.array_distinct(F.transform(F.filter(pieces, lambda p: p["type"].isNotNull()), lambda p: F.struct(p["type"].alias("type"), p["value"].alias("value"))))
-    known = F.array().cast(NAMED) if known is None else known
-
-    def step(named, x):
-        tries = F.array(*[name(salt, x["type"], x["value"], i) for i in range(TRIES)])
-        free = F.filter(tries, lambda t: ~F.exists(named, lambda y: y["name"] == t))
-        entry = F.struct(x["type"].alias("type"), x["value"].alias("value"), F.get(free, F.lit(0)).alias("name"))
-        return F.when(F.exists(named, lambda y: (y["type"] == x["type"]) & (y["value"] == x["value"])), named).otherwise(F.concat(named, F.array(entry)))
-
-    return F.aggregate(slots, known, step)
-
-
-def render(pieces: Column, named: Column) -> Column:
-    return F.array_join(F.transform(pieces, lambda p: F.when(p["type"].isNull(), p["lit"]).otherwise(F.get(F.filter(named, lambda y: (y["type"] == p["type"]) & (y["value"] == p["value"])), F.lit(0))["name"])), "")
+def name(salt: str | None, kind: str, value: str | None, attempt: int = 0) -> str:
+    seed = ":".join(x for x in (salt, kind, value, str(attempt) if attempt else None) if x is not None)
+    return f"<{kind}:{hashlib.sha256(seed.encode()).hexdigest()[: DIGITS * (1 + attempt // DRAWS)]}>"
+
+
+_STRING = T.StringType()
+_NAMED = T.ArrayType(T.StructType([T.StructField(n, _STRING) for n in ("type", "value", "name")]))
+
+
+@F.arrow_udf(T.StructType([T.StructField("named", _NAMED), T.StructField("text", _STRING)]))
+def finish(pieces: pa.Array, salt: pa.Array, known: pa.Array) -> pa.Array:
+    """struct<named, text>: the document's slots with their names, after those already ``known``, in
+    the order of their first appearance, and the text.  A name that another slot holds is drawn
+    again until it is free.  Null pieces give nulls."""
+    lits, kinds, values = (pieces.values.field(i).to_pylist() for i in range(3))
+    ends, salts, there = pieces.offsets.to_pylist(), salt.to_pylist(), pieces.is_valid().to_pylist()
+    texts, entries, stops, none = [], [], [0], []
+    for i, before in enumerate(known.to_pylist()):
+        gone = not there[i]
+        named = {(x["type"], x["value"]): x["name"] for x in before or []}
+        taken, out = set(named.values()), []
+        for k in range(ends[i], ends[i + 1]) if not gone else ():
+            if kinds[k] is None:
+                out.append(lits[k] or "")
+                continue
+            slot_ = kinds[k], values[k]
+            if (own := named.get(slot_)) is None:
+                attempt, own = 0, name(salts[i], *slot_)
+                while own in taken:
+                    attempt += 1
+                    own = name(salts[i], *slot_, attempt)
+                named[slot_] = own
+                taken.add(own)
+            out.append(own)
+        texts.append(None if gone else "".join(out))
+        none.append(gone)
+        entries += [] if gone else [(*x, n) for x, n in named.items()]
+        stops.append(len(entries))
+    columns = list(zip(*entries, strict=True)) or [()] * 3
+    rows = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], ["type", "value", "name"])
+    lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), rows, mask=pa.array(none))
+    return pa.StructArray.from_arrays([lists, pa.array(texts, pa.string())], ["named", "text"])
+
+
+def finished(pieces: Column, salt: Column, known: Column | None = None) -> Column:
+    """``finish`` of a column of pieces."""
+    return finish(pieces.cast(PIECES), salt, F.lit(None).cast(NAMED) if known is None else known)
 
 
 def placeholders(named: Column) -> Column:
@@ -71,9 +104,9 @@ def lay_out(text: Column, spans: Column, pieces_of: Callable[[Column], Column],
     ``end_of`` may reach beyond a span's end; a later span inside that reach is still replaced, and
     what follows it is taken from that span's own end on.
     """
-    ends = F.transform(spans, end_of)
-    inner = F.flatten(F.transform(spans, lambda s, i: F.concat(lit(slice_text(text, F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)), s["start"])), pieces_of(s))))
-    last = F.when(F.size(spans) == 0, F.lit(0)).otherwise(F.element_at(ends, -1))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(end_of(F.get(spans, i - 1)))
+    inner = F.flatten(F.transform(spans, lambda s, i: F.concat(lit(slice_text(text, before(i), s["start"])), pieces_of(s))))
+    last = F.when(F.size(spans) == 0, F.lit(0)).otherwise(end_of(F.element_at(spans, -1)))
     return F.concat(inner.cast(PIECES), lit(F.substring(text, last + 1, F.length(text))).cast(PIECES))
 
 
@@ -113,7 +146,10 @@ def path_parts(value: Column) -> Column:
 def abstract_path(value: Column, windows: Column) -> Column:
     """The last two parts stay; the root becomes a placeholder of its class.  A path of no more
     than two parts keeps them all, and its placeholder stands for the empty root."""
-    parts = path_parts(value)
+    return let(path_parts(value), lambda parts: _abstract_parts(value, parts, windows))
+
+
+def _abstract_parts(value: Column, parts: Column, windows: Column) -> Column:
     n = F.size(parts)
     home = F.when(windows, F.array_contains(F.slice(parts, 1, 3), "Users")).otherwise((F.get(parts, F.lit(0)) == "home") & (n > 1))
     root = F.concat(F.when(windows, F.lit("WIN")).otherwise(F.lit("UNIX")), F.when(home, F.lit("_HOME")).otherwise(F.lit("_ROOT")))
@@ -124,6 +160,10 @@ def abstract_path(value: Column, windows: Column) -> Column:
 
 
 def render_host(host: Column, network: Column) -> Column:
+    return let(host, lambda h: _render_host(h, network))
+
+
+def _render_host(host: Column, network: Column) -> Column:
     low = F.lower(host)
     private = F.lit(False)
     for x in C.PRIVATE_SUFFIXES:
@@ -144,17 +184,24 @@ def abstract_uri(value: Column, network: Column) -> Column:
     Tabs and line breaks do not count; brackets that do not match in the host part are malformed.
     """
     clean = F.regexp_replace(value, r"[\t\n\r]", "")
-    scheme = F.regexp_extract(clean, _SCHEME, 1)
-    rest = F.when(scheme == "", clean).otherwise(F.regexp_extract(clean, _SCHEME, 2))
-    has_net = rest.startswith("//")
-    net = F.when(has_net, F.regexp_extract(rest, r"(?s)^//([^/?#]*)", 1)).otherwise(F.lit(""))
-    path = F.regexp_extract(F.when(has_net, F.regexp_extract(rest, r"(?s)^//[^/?#]*(.*)$", 1)).otherwise(rest), r"(?s)^([^?#]*)", 1)
-    host = F.substring_index(F.substring_index(net, "@", -1), ":", 1)
-    shown = F.concat(F.lit("<"), F.upper(F.when(scheme == "", F.lit("uri")).otherwise(scheme)), F.lit(">://"))
-    malformed = (net.contains("[") & ~net.contains("]")) | (net.contains("]") & ~net.contains("["))
-    broken = F.concat(F.lit("<"), F.when(value.contains("://"), F.upper(F.substring_index(value, "://", 1))).otherwise(F.lit("URI")), F.lit("_MALFORMED>"))
-    whole = F.concat(lit(shown), render_host(host, network), lit(F.when(path == "/", F.lit("")).otherwise(path)))
-    return F.when(malformed, lit(broken)).otherwise(whole)
+    return let(clean, lambda c: let(F.regexp_extract(c, _SCHEME, 1), lambda scheme: _abstract_uri(value, c, scheme, network)))
+
+
+def _abstract_uri(value: Column, clean: Column, scheme: Column, network: Column) -> Column:
+    def whole(rest):
+        has_net = rest.startswith("//")
+        net = F.when(has_net, F.regexp_extract(rest, r"(?s)^//([^/?#]*)", 1)).otherwise(F.lit(""))
+        path = F.regexp_extract(F.when(has_net, F.regexp_extract(rest, r"(?s)^//[^/?#]*(.*)$", 1)).otherwise(rest), r"(?s)^([^?#]*)", 1)
+        return let(F.struct(net.alias("net"), path.alias("path")), lambda x: pieces(x["net"], x["path"]))
+
+    def pieces(net, path):
+        host = F.substring_index(F.substring_index(net, "@", -1), ":", 1)
+        shown = F.concat(F.lit("<"), F.upper(F.when(scheme == "", F.lit("uri")).otherwise(scheme)), F.lit(">://"))
+        malformed = (net.contains("[") & ~net.contains("]")) | (net.contains("]") & ~net.contains("["))
+        broken = F.concat(F.lit("<"), F.when(value.contains("://"), F.upper(F.substring_index(value, "://", 1))).otherwise(F.lit("URI")), F.lit("_MALFORMED>"))
+        return F.when(malformed, lit(broken)).otherwise(F.concat(lit(shown), render_host(host, network), lit(F.when(path == "/", F.lit("")).otherwise(path))))
+
+    return let(F.when(scheme == "", clean).otherwise(F.regexp_extract(clean, _SCHEME, 2)), whole)
 
 
 def abstract_connection(value: Column) -> Column:
@@ -193,7 +240,10 @@ def abstract(span: Column, network: Column) -> Column:
 
 
 def generalize_path(value: Column, windows: Column, keep_tail: int = 2) -> Column:
-    parts = path_parts(value)
+    return let(value, lambda v: let(path_parts(v), lambda parts: _generalize_parts(v, parts, windows, keep_tail)))
+
+
+def _generalize_parts(value: Column, parts: Column, windows: Column, keep_tail: int) -> Column:
     n = F.size(parts)
     sep = F.when(windows, F.lit("\\")).otherwise(F.lit("/"))
     first = F.get(parts, F.lit(0))
@@ -220,16 +270,9 @@ def _is_path(s: Column) -> Column:
     return s["pattern"].isin("unix_path", "windows_path")
 
 
-def generalize(text: Column, spans: Column) -> Column:
-    """Pieces: paths, with what continues them, keep their tails; other spans are abstracted."""
-
-    def more(s):
-        return F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(513)), C.java(C.PATH_TAIL), 1)
-
-    def pieces(s):
-        return F.when(_is_path(s), generalize_path(F.concat(s["text"], more(s)), s["pattern"] == "windows_path")).otherwise(abstract(s, F.lit(False)))
-
-    return lay_out(text, spans, pieces, lambda s: s["end"] + F.when(_is_path(s), F.length(more(s))).otherwise(F.lit(0)))
+def _more(text: Column, s: Column) -> Column:
+    """What continues a path after its span."""
+    return F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(513)), C.java(C.PATH_TAIL), 1)
 
 
 # ---------------------------------------------------------------- key-aware redaction
@@ -254,31 +297,24 @@ def key_pieces(text: Column) -> Column:
     regex = C.KEY_LINE
     groups = [extract_all(text, regex, i) for i in range(5)]
     gaps = F.split(text, C.java(regex), -1)
-    rows = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])
+    rows = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)], F.slice(gaps, F.lit(1), F.size(groups[0])).alias("g5"))
 
-    def line(m, i):
-        whole, indent, key, sep, value = (m[str(k)] for k in range(5))
+    def line(m):
+        whole, indent, key, sep, value, gap = (m[f"g{k}"] for k in range(6))
         bare = strip(value)
         inner = F.regexp_replace(bare, "^[\"']+|[\"']+$", "")
         quote = F.when(bare.startswith('"'), F.lit('"')).when(bare.startswith("'"), F.lit("'")).otherwise(F.lit(""))
         hide = found(key, C.SENSITIVE_KEY) & (inner != "") & ~benign(inner)
         secret = F.concat(lit(F.concat(indent, key, sep, quote)), slot("SECRET_VALUE", inner), lit(quote))
-        return F.concat(lit(F.get(gaps, i)), F.when(hide, secret).otherwise(lit(whole)))
-
-    zipped = F.transform(rows, lambda m: F.struct(*[m[f"g{i}"].alias(str(i)) for i in range(5)]))
-    return F.concat(F.flatten(F.transform(zipped, line)).cast(PIECES), lit(F.element_at(gaps, -1)).cast(PIECES))
+        return F.concat(lit(gap), F.when(hide, secret).otherwise(lit(whole)))
 
+    return F.concat(F.flatten(F.transform(rows, line)).cast(PIECES), lit(F.element_at(gaps, -1)).cast(PIECES))
 
-def canonical_pieces(text: Column, spans: Column) -> Column:
-    """Pieces of a text whose homes are rewritten: spans are abstracted, but for harmless scalars
-    that stand where a value does."""
 
-    def pieces(s):
-        before = slice_text(text, F.greatest(s["start"] - 60, F.lit(0)), s["start"])
-        value_place = found(strip(F.concat(F.lit("|"), before)), r"[:=]\s*$")
-        return F.when(value_place & benign(s["text"]), lit(s["text"])).otherwise(abstract(s, F.lit(False)))
-
-    return lay_out(text, spans, pieces)
+def _harmless(text: Column, s: Column) -> Column:
+    """A scalar that stands where a value does."""
+    before = slice_text(text, F.greatest(s["start"] - 60, F.lit(0)), s["start"])
+    return found(strip(F.concat(F.lit("|"), before)), r"[:=]\s*$") & benign(s["text"])
 
 
 # ---------------------------------------------------------------- summaries of stack traces
@@ -356,17 +392,21 @@ def summarize(text: Column) -> Column:
     return F.array_join(F.aggregate(lines(text), start, step, lambda a: a["out"]), "\n")
 
 
-_summaries: dict = {}
+_built: dict = {}
 
 
-def _summary_of(text: str) -> Column:
-    """summarize of a named column, built once a session: it has all patterns within its fold."""
+def _once_a_session(build: Callable[..., Column], *args) -> Column:
+    """An expression over columns of fixed names, built once: that takes thousands of calls."""
     from pyspark import SparkContext
 
-    key = (text, id(SparkContext._gateway))
-    if key not in _summaries:
-        _summaries[key] = summarize(F.coalesce(col(text), F.lit("")))
-    return _summaries[key]
+    key = (build, args, id(SparkContext._gateway))
+    if key not in _built:
+        _built[key] = build(*args)
+    return _built[key]
+
+
+def _summary_of(text: str) -> Column:
+    return summarize(F.coalesce(col(text), F.lit("")))
 
 
 # ---------------------------------------------------------------- documents
@@ -377,6 +417,34 @@ def naive_mask(df: DataFrame, text: str = "text", spans: str = "spans", out: str
     return df.withColumn(out, once(splice(F.coalesce(col(text), F.lit("")), col(spans), lambda s: F.lit("<REDACTED>"))))
 
 
+def _high(s: Column) -> Column:
+    return s["pattern"].isin(*C.HIGH_RISK_REWRITE)
+
+
+def _layout() -> Column:
+    """The pieces of __src with spans __sp, as __mode, ops and artifact_kind have them."""
+    mode, text = F.col("__mode"), F.col("__src")
+    suppressing = (mode == "spans") & F.array_contains("ops", "SUPPRESS")
+    network = (mode == "spans") & (F.col("artifact_kind") == "network_artifact")
+
+    def wide(s):  # a path that is generalised with what continues it
+        return (mode == "GENERALIZE") & _is_path(s)
+
+    def pieces(s):
+        return (
+            F.when(suppressing & _high(s), lit(suppress(s["pattern"])))
+            .when(wide(s), generalize_path(F.concat(s["text"], _more(text, s)), s["pattern"] == "windows_path"))
+            .when((mode == "CANONICALIZE") & _harmless(text, s), lit(s["text"]))
+            .otherwise(abstract(s, network))
+        )
+
+    return lay_out(text, F.col("__sp"), pieces, lambda s: s["end"] + F.when(wide(s), F.length(_more(text, s))).otherwise(F.lit(0)))
+
+
+def _key_layout() -> Column:
+    return F.when(F.col("__mode") == "CANONICALIZE", key_pieces(F.col("__text")))
+
+
 def transform(df: DataFrame, policy: str = "routed", text: str = "text", salt: Column | str = DEFAULT_SALT, key_aware: bool = True) -> DataFrame:
     """Adds the rewritten text and what goes with it to a detected, classified, routed frame.
 
@@ -385,32 +453,28 @@ def transform(df: DataFrame, policy: str = "routed", text: str = "text", salt: C
     before CANONICALIZE before GENERALIZE before the span operators.  ``key_aware=False`` leaves out
     the redaction by key names; that variant reports no high-risk counts.
     """
+    ship(df.sparkSession)
     t = F.coalesce(col(text), F.lit(""))
     salt = F.lit(salt) if isinstance(salt, str) else salt
     has = lambda op: F.array_contains("ops", op)
     mode = F.when(F.size("ops") == 0, "none").when(has("SUMMARIZE"), "SUMMARIZE").when(has("CANONICALIZE"), "CANONICALIZE").when(has("GENERALIZE"), "GENERALIZE").otherwise("spans")
-    high = lambda s: s["pattern"].isin(*C.HIGH_RISK_REWRITE)
+    canonical = F.col("__mode") == "CANONICALIZE"
+    high = _high
     own = df.columns
     df = df.withColumn("__mode", mode)
-    df = df.withColumn("__home", once(F.when(F.col("__mode") == "CANONICALIZE", homes(t))))
-    df = df.withColumn("__again", once(F.when(F.col("__mode") == "CANONICALIZE", resolve(raw_spans("__home")))))
-    network = F.col("artifact_kind") == "network_artifact"
-    suppressing = has("SUPPRESS")
-    of_spans = lay_out(t, F.col("spans"), lambda s: F.when(suppressing & high(s), lit(suppress(s["pattern"]))).otherwise(abstract(s, network)))
-    pieces = (
-        F.when(F.col("__mode") == "spans", of_spans)
-        .when(F.col("__mode") == "GENERALIZE", generalize(t, F.col("spans")))
-        .when(F.col("__mode") == "CANONICALIZE", canonical_pieces(F.col("__home"), F.col("__again")))
-        .when(F.col("__mode") == "SUMMARIZE", lit(_summary_of(text)).cast(PIECES))
-        .otherwise(lit(t).cast(PIECES))
-    )
+    df = df.withColumn("__src", once(F.when(canonical, homes(t)).otherwise(t)))
+    df = df.withColumn("__sp", once(F.when(canonical, find_spans(F.when(canonical, F.col("__src")))).otherwise(F.col("spans"))))
+    pieces = F.when(F.col("__mode") == "SUMMARIZE", lit(_once_a_session(_summary_of, text)).cast(PIECES)).when(F.col("__mode") == "none", lit(t).cast(PIECES)).otherwise(_once_a_session(_layout))
+    # pieces are columns of their own before they are given to ``finish``: an expression with nested
+    # lambdas as its argument is not recognised again when the optimizer takes the call out
     df = df.withColumn("__pieces", once(pieces))
-    df = df.withColumn("__named", once(name_slots(F.col("__pieces"), salt)))
-    df = df.withColumn("__text", once(render(F.col("__pieces"), F.col("__named"))))
+    df = df.withColumn("__done", once(finished(F.col("__pieces"), salt)))
+    df = df.withColumn("__text", F.col("__done.text")).withColumn("__named", F.col("__done.named"))
     if key_aware:
-        df = df.withColumn("__keys", once(F.when(F.col("__mode") == "CANONICALIZE", key_pieces(F.col("__text")))))
-        df = df.withColumn("__named", F.when(F.col("__mode") == "CANONICALIZE", name_slots(F.col("__keys"), salt, F.col("__named"))).otherwise(F.col("__named"))).withColumn("__named", once(F.col("__named")))
-        df = df.withColumn("__text", F.when(F.col("__mode") == "CANONICALIZE", render(F.col("__keys"), F.col("__named"))).otherwise(F.col("__text")))
+        df = df.withColumn("__keys", once(_once_a_session(_key_layout)))
+        df = df.withColumn("__again", once(finished(F.col("__keys"), salt, F.col("__named"))))
+        df = df.withColumn("__text", F.coalesce("__again.text", "__text")).withColumn("__named", F.coalesce("__again.named", "__named"))
+    suppressing = has("SUPPRESS")
     spans_mode = F.col("__mode") == "spans"
     n_high = F.size(F.filter("spans", high))
     n_suppress = F.when(spans_mode & suppressing, n_high).otherwise(0)

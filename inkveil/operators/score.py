@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
+from ..functions.ship import ship
 from ..functions.text import col, once
-from .detect import config_keys, exception_tokens, frame_count, raw_spans, resolve, safe_tokens, strip_spans
+from .detect import config_keys, exception_tokens, frame_count, safe_tokens, strip_spans
+from .detect import spans as find_spans
 
 METRICS = [
     "residual_matches", "high_risk_residual_matches", "exact_leaks", "high_risk_exact_leaks", "leakage_rate", "structural_risk", "type_disclosure_rate", "linkage_score",
@@ -58,7 +60,8 @@ def score(df: DataFrame, text: str = "text", out: str = "out_text") -> DataFrame
     """Adds the 17 metrics to rewritten rows (columns of ``rewrite.transform``)."""
     t, o, spans = F.coalesce(col(text), F.lit("")), col(out), F.col("spans")
     own = df.columns
-    df = df.withColumn("__left", once(resolve(raw_spans(out))))
+    ship(df.sparkSession)
+    df = df.withColumn("__left", once(find_spans(F.col(out))))
     left, total = F.col("__left"), F.size("spans")
     exact = F.size(leaks(spans, o)).cast("double")
     high_exact = F.size(leaks(F.filter(spans, _high), o)).cast("double")

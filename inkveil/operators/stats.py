@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import catalog as C
+from ..functions.ship import ship
+from .classify import running
 from .score import METRICS
 
 
@@ -34,39 +38,111 @@ def breakdown(scored: DataFrame, policy: str = "policy", kind: str = "artifact_k
 # ---------------------------------------------------------------- bootstrap
 
 
+def _poisson(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) draws from uniform ones."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(steps, u, "right").astype(np.float64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
 def bootstrap(rows: DataFrame, metrics: list[str], replicates: int = 2000, seed: int = 42, alpha: float = 0.05, linear: bool = False) -> DataFrame:
     """(metric, mean, ci_lower, ci_upper) by resampling with replacement.
 
     Each replicate weighs each row by a Poisson(1) draw from a hash of seed, replicate and row, so
-    there is no join and no row moves: a task sums weights for all replicates, and what is shuffled
-    is one partial sum a replicate.  (Weights in place of n draws from n rows agree for large n; a
-    replicate's mean divides by its own weight.)  Bounds are elements of the sorted means, at
-    int(R alpha / 2) and int(R (1 - alpha / 2)), or linear percentiles.
+    there is no join and no row moves: a task adds up the weights and weighted values of all
+    replicates, and what is shuffled is one partial sum a replicate and task.  (Weights in place of
+    n draws from n rows agree for large n; a replicate's mean divides by its own weight.)  Nulls
+    count in neither.  Bounds are elements of the sorted means, at int(R alpha / 2) and
+    int(R (1 - alpha / 2)), or linear percentiles.
     """
-    key = F.xxhash64(*[F.col(c) for c in rows.columns])
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, F.col("__uid"), F.col("replicate")), 11) / float(1 << 53)
-    cumulative, w, term = 0.0, F.lit(0), math.exp(-1)
-    for k in range(1, 9):
-        cumulative += term
-        term /= k
-        w = w + (u >= cumulative).cast("int")
-    drawn = (
-        rows.withColumn("__uid", F.monotonically_increasing_id())
-        .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .withColumn("w", w)
-        .groupBy("replicate")
-        .agg(F.sum("w").alias("w"), *[F.sum(F.col(m) * F.col("w")).alias(m) for m in metrics])
-    )
-    per = drawn.where("w > 0").select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(m) / F.col("w")).alias("v")) for m in metrics])).alias("x")).select("x.metric", "x.v")
-    lo, hi = max(0, int(replicates * alpha / 2)), min(replicates - 1, int(replicates * (1 - alpha / 2)))
+    ship(rows.sparkSession)
+    key = F.xxhash64(*[F.col(c) for c in rows.columns], F.monotonically_increasing_id())
+    m, names = len(metrics), ["replicate", *[f"w{i}" for i in range(len(metrics))], *[f"s{i}" for i in range(len(metrics))]]
+
+    def add(batches):
+        weight, total = np.zeros((replicates, m)), np.zeros((replicates, m))
+        draw = _mixed(np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            values = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(m)], 1)
+            there = ~np.isnan(values)
+            values = np.where(there, values, 0.0)
+            for a in range(0, len(keys), 256):
+                w = _poisson((_mixed(keys[a : a + 256, None] ^ draw[None, :]) >> np.uint64(11)) / float(1 << 53))
+                weight += w.T @ there[a : a + 256]
+                total += w.T @ values[a : a + 256]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), *(pa.array(weight[:, i]) for i in range(m)), *(pa.array(total[:, i]) for i in range(m))], names)
+
+    sums = rows.select(key.alias("key"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(metrics)]).mapInArrow(add, "replicate int, " + ", ".join(f"{n} double" for n in names[1:]))
+    drawn = sums.groupBy("replicate").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    per = drawn.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.when(F.col(f"w{i}") > 0, F.col(f"s{i}") / F.col(f"w{i}")).alias("v")) for i, c in enumerate(metrics)])).alias("x")).select("x.metric", "x.v").where("v is not null")
+    mean = rows.agg(*[F.avg(c).alias(c) for c in metrics]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("mean")) for c in metrics])).alias("x")).select("x.metric", "x.mean")
+    return mean.join(_bounds(per, replicates, alpha, linear), "metric")
+
+
+def _bounds(per: DataFrame, replicates: int, alpha: float, linear: bool) -> DataFrame:
+    """(metric, ci_lower, ci_upper) of (metric, v), one number a replicate."""
     if linear:
-        bounds = per.groupBy("metric").agg(F.percentile("v", alpha / 2).alias("ci_lower"), F.percentile("v", 1 - alpha / 2).alias("ci_upper"))
-    else:
-        ordered = per.groupBy("metric").agg(F.sort_array(F.collect_list("v")).alias("v"))  # one number a replicate
-        last = F.size("v") - 1
-        bounds = ordered.select("metric", F.get("v", F.least(F.lit(lo), last)).alias("ci_lower"), F.get("v", F.least(F.lit(hi), last)).alias("ci_upper"))
-    mean = rows.agg(*[F.avg(m).alias(m) for m in metrics]).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("mean")) for m in metrics])).alias("x")).select("x.metric", "x.mean")
-    return mean.join(bounds, "metric")
+        return per.groupBy("metric").agg(F.percentile("v", alpha / 2).alias("ci_lower"), F.percentile("v", 1 - alpha / 2).alias("ci_upper"))
+    lo, hi = max(0, int(replicates * alpha / 2)), min(replicates - 1, int(replicates * (1 - alpha / 2)))
+    ordered = per.groupBy("metric").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    last = F.size("v") - 1
+    return ordered.select("metric", F.get("v", F.least(F.lit(lo), last)).alias("ci_lower"), F.get("v", F.least(F.lit(hi), last)).alias("ci_upper"))
+
+
+def classification_bootstrap(df: DataFrame, label: str = "label", pred: str = "pred", score: str = "score", replicates: int = 1000, seed: int = 42, alpha: float = 0.05, digits: int = 4) -> DataFrame:
+    """(metric, mean, ci_lo, ci_hi, n): accuracy, macro and sensitive F1, mcc, AUROC and PR-AUC over
+    resamples, means and linear percentiles of the n replicates that have both classes.
+
+    Rows alike in label, prediction and score (a probability, taken to ``digits`` decimals) are one
+    cell, and a replicate weighs a cell of c rows by a Poisson(c) draw.  There are at most
+    4 (10 ** digits + 1) cells, whatever the input; they are broadcast and replicates dealt out.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    cells = df.where(F.col(label).isNotNull()).groupBy(F.round(F.col(score).cast("double"), digits).alias("s"), (F.col(label) == 1).alias("y"), (F.col(pred) == 1).alias("p")).agg(F.count("*").alias("c")).orderBy(F.desc("s"), "y", "p").toPandas()
+    held = spark.sparkContext.broadcast((cells["s"].to_numpy(float), cells["y"].to_numpy(bool), cells["p"].to_numpy(bool), cells["c"].to_numpy(float)))
+    names = ["accuracy", "f1_macro", "f1_sensitive", "mcc", "auroc", "pr_auc"]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.column(0).to_pylist():
+                s, y, p, c = held.value
+                found = weighted_metrics(s, y, p, np.random.default_rng([seed, r]).poisson(c).astype(float))
+                out += [(n, v) for n, v in zip(names, found, strict=True)] if found else []
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["metric", "v"])
+
+    per = spark.range(replicates).repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "metric string, v double")
+    return per.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", alpha / 2).alias("ci_lo"), F.percentile("v", 1 - alpha / 2).alias("ci_hi"), F.count("*").alias("n"))
+
+
+def weighted_metrics(score: np.ndarray, label: np.ndarray, pred: np.ndarray, weight: np.ndarray) -> list[float] | None:
+    """accuracy, macro F1, F1, mcc, AUROC and PR-AUC of weighted rows in falling order of score; None
+    if there is one class only."""
+    pos, neg = weight * label, weight * ~label
+    p, n = pos.sum(), neg.sum()
+    if not p or not n:
+        return None
+    tp, fp = pos[pred].sum(), neg[pred].sum()
+    fn, tn = p - tp, n - fp
+    ratio = lambda a, b: float(a / b) if b else 0.0
+    f1, f0 = ratio(2 * tp, 2 * tp + fp + fn), ratio(2 * tn, 2 * tn + fp + fn)
+    mcc = ratio(tp * tn - fp * fn, math.sqrt((tp + fp) * p) * math.sqrt((tn + fn) * n))
+    last = np.append(score[1:] != score[:-1], True)  # ties share a threshold
+    up, down = np.cumsum(pos)[last], np.cumsum(neg)[last]
+    step_up, step_down = np.diff(up, prepend=0), np.diff(down, prepend=0)
+    auroc = float((step_down * (up - step_up / 2)).sum() / (p * n))
+    seen = up + down > 0
+    pr_auc = float((step_up[seen] * up[seen] / (up + down)[seen]).sum() / p)
+    return [ratio(tp + tn, p + n), (f1 + f0) / 2, f1, mcc, auroc, pr_auc]
 
 
 # ---------------------------------------------------------------- tests
@@ -111,12 +187,9 @@ def wilcoxon(pairs: DataFrame, diff: str = "diff", least: int = 5) -> DataFrame:
     one row for each distinct difference is ordered.  p is exact for up to 25 pairs without ties,
     else normal with tie correction; it is null below ``least`` pairs.
     """
-    from pyspark.sql import Window
-
-    d = pairs.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).select(F.abs(diff).alias("v"), (F.col(diff) > 0).cast("long").alias("up"))
-    by = d.groupBy("v").agg(F.count("*").alias("c"), F.sum("up").alias("up"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.select("c", "up", (before + (F.col("c") + 1) / 2.0).alias("rank"))
+    d = pairs.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).select(F.abs(diff).cast("double").alias("v"), (F.col(diff) > 0).cast("long").alias("up"))
+    by = running(d.groupBy("v").agg(F.count("*").alias("c"), F.sum("up").alias("up")), "v", {"c": "so_far"})
+    ranked = by.select("c", "up", (F.col("so_far") - F.col("c") + (F.col("c") + 1) / 2.0).alias("rank"))
     out = ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.pow("c", 3) - F.col("c")), F.lit(0.0)).alias("__t"))
 
     @F.pandas_udf(T.DoubleType())
@@ -141,8 +214,14 @@ def signed_rank_p(n: int, w: float, ties: float) -> float:
 # ---------------------------------------------------------------- frontiers and summaries
 
 
+MOST_POLICIES = 10_000
+
+
 def dominance(policies: DataFrame, name: str = "policy", x: str = "privacy_score", y: str = "utility_score") -> DataFrame:
-    """(winner, loser): at least as good on both axes and better on one.  One row a policy goes in."""
+    """(winner, loser): at least as good on both axes and better on one.  One row a policy goes in,
+    and no more than MOST_POLICIES: each is held against each."""
+    if (n := policies.count()) > MOST_POLICIES:
+        raise ValueError(f"{n} policies to hold against one another")
     a, b = policies.alias("a"), policies.alias("b")
     ax, ay, bx, by = F.col(f"a.{x}"), F.col(f"a.{y}"), F.col(f"b.{x}"), F.col(f"b.{y}")
     return a.join(F.broadcast(b), (F.col(f"a.{name}") != F.col(f"b.{name}")) & (ax >= bx) & (ay >= by) & ((ax > bx) | (ay > by))).select(F.col(f"a.{name}").alias("winner"), F.col(f"b.{name}").alias("loser"))
@@ -245,6 +324,29 @@ def false_positive_rate(benign: DataFrame) -> DataFrame:
     return benign.agg(F.count("*").alias("total"), F.count_if(some).alias("flagged"), F.coalesce(F.avg(some.cast("double")), F.lit(0.0)).alias("false_positive_rate"), F.slice(F.sort_array(F.collect_list(F.when(some, F.col("text")))), 1, 5).alias("examples"))
 
 
+def coverage_report(fixtures: DataFrame, benign: DataFrame, keys: DataFrame, kinds: DataFrame) -> DataFrame:
+    """One row: overall_recall, recall_by_type, weak_types, missed (two a type), false positives (rate
+    and five examples), key-aware redaction, kinds and their misses, and what the recall implies.
+
+    ``fixtures``: expected_type, text, spans; ``benign``: text, spans; ``keys``: key, redacted;
+    ``kinds``: expected_kind, artifact_kind, text.  Fixtures are small tables by nature.
+    """
+    by = detector_recall(fixtures)
+    recall = by.agg(
+        (F.sum("detected") / F.sum("total")).alias("overall_recall"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("expected_type", "recall")))).alias("recall_by_type"),
+        F.sort_array(F.collect_list(F.when(F.col("recall") < 1, F.col("expected_type")))).alias("weak_types"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.size("missed") > 0, F.struct("expected_type", "missed"))))).alias("missed"),
+    )
+    wrong = false_positive_rate(benign).select("false_positive_rate", F.col("examples").alias("false_positive_examples"))
+    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    by_key = keys.agg(share(F.col("redacted")).alias("key_aware_rate"), F.sort_array(F.collect_list(F.when(~F.col("redacted"), F.col("key")))).alias("key_misses"))
+    right = F.col("artifact_kind") == F.col("expected_kind")
+    by_kind = kinds.agg(share(right).alias("kind_accuracy"), F.sort_array(F.collect_list(F.when(~right, F.struct("expected_kind", "artifact_kind", F.substring("text", 1, 60).alias("text"))))).alias("kind_misses"))
+    out = recall.crossJoin(wrong).crossJoin(by_key).crossJoin(by_kind)  # one row each
+    return out.withColumn("implication", privacy_implication(F.col("overall_recall")))
+
+
 def privacy_implication(recall: Column) -> Column:
     """What a detector's recall means: the share of spans that escapes, and the bound it sets."""
     missed = 1.0 - recall

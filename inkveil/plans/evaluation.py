@@ -51,7 +51,7 @@ def external(name: str, replace: Callable[[DataFrame], DataFrame], text: str = "
 def language_model(generate: attack.Generate, model: str, text: str = "text") -> Policy:
     """The text as a language model rewrites it; fewer than five characters, or an error, count as
     no answer."""
-    system = "Rewrite the text so that it holds no secrets, personal data or internal names. Answer with the text only."
+    system = "Rewrite the text so that it can be shown to strangers. Replace every password, key, token, personal detail, internal address, host and path by a short description in angle brackets; keep everything else, line breaks included, as it is. Answer with the rewritten text only."
 
     def replace(df: DataFrame) -> DataFrame:
         asked = attack.ask(df, generate, model, system, text)
@@ -100,19 +100,35 @@ def ablations(text: str = "text", salt: str = rewrite.DEFAULT_SALT) -> list[Poli
     ]
 
 
+_held: list[DataFrame] = []
+
+
+def _hold(df: DataFrame) -> DataFrame:
+    _held.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Let go of the rows that earlier evaluations of this process hold, once their results are
+    written."""
+    while _held:
+        _held.pop().unpersist()
+
+
 def evaluate(df: DataFrame, policies: list[Policy], text: str = "text", kind: str = "artifact_kind") -> DataFrame:
     """Mean scores by policy, overall and by kind.
 
     Detection is the costly part and every policy needs it, so the prepared rows are persisted
-    (memory and disk) for the policies' branches; ``spark.catalog.clearCache()`` lets go of them.
+    (memory and disk) for the policies' branches, until ``release``.
     """
-    return stats.breakdown(score.score(apply(prepare(df, text).persist(), policies), text), kind=kind)
+    return stats.breakdown(score.score(apply(_hold(prepare(df, text)), policies), text), kind=kind)
 
 
 def report(df: DataFrame, policies: list[Policy], key: str, text: str = "text", replicates: int = 2000, metrics: tuple[str, ...] = ("privacy_score", "utility_score", "pareto_score")) -> dict[str, DataFrame]:
     """The automatic evaluation: breakdown, intervals, paired tests of the first policy against the
-    others, frontier.  Scored rows are persisted, as each figure is a query of its own."""
-    scored = score.score(apply(prepare(df, text).persist(), policies), text).persist()
+    others, frontier.  Scored rows are persisted until ``release``, as each figure is a query of its
+    own."""
+    scored = _hold(score.score(apply(_hold(prepare(df, text)), policies), text))
     names = [r[0] for r in scored.select("policy").distinct().orderBy("policy").collect()]
     first = "routed" if "routed" in names else names[0]
     tests = None
@@ -131,20 +147,34 @@ def report(df: DataFrame, policies: list[Policy], key: str, text: str = "text",
 # ---------------------------------------------------------------- reconstruction
 
 
-TYPED_SYSTEM = 'Placeholders like <TYPE:1a2b> stand for values. Guess each value from its type and context. Answer in JSON: {"attempts": [{"placeholder": "...", "reconstructed_value": "...", "confidence": "high|medium|low"}]}'
-BLIND_SYSTEM = 'Each <REDACTED> stands for a value. Guess them in order. Answer in JSON: {"attempts": [{"index": 1, "reconstructed_value": "...", "confidence": "high|medium|low"}]}'
+_ATTEMPTS = 'Answer with JSON and nothing else: {"attempts": [{"%s, "reconstructed_value": "...", "confidence": "high|medium|low"}]}. Give one entry for each, and "low" where you can only guess.'
+TYPED_SYSTEM = "A text had its sensitive values replaced by placeholders such as <EMAIL:1a2b>: the type of the value, then a code that is the same wherever the value was. From the type and all that stands around it, work out what each value most likely was, letter by letter. " + _ATTEMPTS % 'placeholder": "..."'
+SUPPRESSED_SYSTEM = "A text had its secrets replaced by marks such as <SUPPRESSED:GITHUB_TOKEN>, which tell a secret's type and nothing else; equal marks may stand for different secrets. Using what such secrets look like and what the text gives away, suggest a value for each mark. " + _ATTEMPTS % 'placeholder": "..."'
+BLIND_SYSTEM = "A text had its sensitive values replaced by <REDACTED>, without type or code. Work out from the text around each mark what it most likely was, in the order in which they stand, counting from 1. " + _ATTEMPTS % 'index": 1'
 
 
-def reconstruct(results: DataFrame, key: str, generate: attack.Generate, model: str) -> DataFrame:
-    """Attempts of a generator at the rewritten rows of one policy, scored.  Documents whose call
-    fails have no attempts."""
-    typed = results.where(F.size(F.map_keys("placeholders")) > 0)
+def _of_typed(results: DataFrame, key: str, generate: attack.Generate, model: str, suppressed: bool) -> DataFrame:
+    wanted = F.map_filter("placeholders", lambda k, _: k.startswith("<SUPPRESSED:") == F.lit(suppressed))
+    typed = results.withColumn("placeholders", wanted).where(F.size(F.map_keys("placeholders")) > 0)
     prompts = typed.select(key, F.concat(F.lit("Text:\n"), F.substring("out_text", 1, 6000)).alias("prompt"))
-    answers = attack.ask(prompts, generate, model, TYPED_SYSTEM).where("error is null")
+    answers = attack.ask(prompts, generate, model, SUPPRESSED_SYSTEM if suppressed else TYPED_SYSTEM).where("error is null")
     targets = attack.typed_targets(typed, key).join(answers.select(key), key, "left_semi")
     return attack.join_typed(targets, attack.parse_attempts(answers, key), key)
 
 
+def reconstruct(results: DataFrame, key: str, generate: attack.Generate, model: str) -> DataFrame:
+    """Attempts of a generator at the rewritten rows of one policy, scored: at typed placeholders and,
+    with a prompt of their own, at suppressed ones.  Documents whose call fails have no attempts."""
+    return _of_typed(results, key, generate, model, False).unionByName(_of_typed(results, key, generate, model, True))
+
+
+def attempt_any(results: DataFrame, key: str, generate: attack.Generate, model: str) -> DataFrame:
+    """Attempts at rows of any policies: blind ones where all that was done is masking, else typed and
+    suppressed ones."""
+    masked = (F.size("operators_applied") == 1) & (F.coalesce(F.get("operators_applied", F.lit(0)), F.lit("")) == "NAIVE_MASK")
+    return reconstruct(results.where(~masked), key, generate, model).unionByName(reconstruct_blind(results.where(masked), key, generate, model))
+
+
 def reconstruct_blind(results: DataFrame, key: str, generate: attack.Generate, model: str) -> DataFrame:
     some = results.where(F.size("spans") > 0)
     prompts = some.select(key, F.concat(F.lit("Text:\n"), F.substring("out_text", 1, 6000), F.lit("\n\nThere are "), F.size("spans").cast("string"), F.lit(" of them.")).alias("prompt"))
@@ -153,11 +183,43 @@ def reconstruct_blind(results: DataFrame, key: str, generate: attack.Generate, m
     return attack.join_blind(spans, attack.parse_attempts(answers, key), key)
 
 
+# ---------------------------------------------------------------- coverage of the detector
+
+
+def coverage(fixtures: DataFrame, benign: DataFrame, keys: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``stats.coverage_report`` of this package's own detector, routing and key-aware redaction.
+
+    ``fixtures``: expected_type, text; ``benign``: text; ``keys``: text, key; ``kinds``:
+    expected_kind, text.
+    """
+    canonical = prepare(keys).withColumn("ops", F.array(F.lit("CANONICALIZE")))
+    redacted = rewrite.transform(canonical).select("key", F.col("out_text").contains("<SECRET_VALUE:").alias("redacted"))
+    return stats.coverage_report(detect.detect(fixtures), detect.detect(benign), redacted, prepare(kinds))
+
+
+def tagger_coverage(fixtures: DataFrame, find: Callable[[str], list[tuple[int, int, str]]], labels: dict[str, str]) -> DataFrame:
+    """``stats.detector_recall`` of an entity tagger: its labels stand for patterns by ``labels``; a
+    text that it fails on has no entities."""
+    kind = "array<struct<pattern:string>>"
+
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return [{"pattern": labels[x]} for _, _, x in find(t or "") if x in labels]
+            except Exception:  # counted as missed
+                return []
+
+        return texts.map(one)
+
+    return stats.detector_recall(fixtures.withColumn("spans", run(F.col("text"))))
+
+
 # ---------------------------------------------------------------- judged pairs
 
 
-ANSWER_SYSTEM = 'Answer in JSON with the fields "primary_issue", "likely_cause" and "next_action".'
-JUDGE_SYSTEM = 'Two answers, A and B, to the same request. Which helps more with the original? Answer in JSON: {"winner": "A|B|TIE", "reason": "..."}'
+ANSWER_SYSTEM = 'You help with technical requests, some details of which are hidden. Say what is wrong, why, and what to do next, from what can be seen. Answer with JSON and nothing else: {"primary_issue": "...", "likely_cause": "...", "next_action": "..."}'
+JUDGE_SYSTEM = 'Two answers, A and B, were given to a request whose original you see. Which one would help the person more with it? Do not reward length. Answer with JSON and nothing else: {"winner": "A|B|TIE", "reason": "one sentence"}'
 
 
 def answer(results: DataFrame, generate: attack.Generate, model: str, text: str = "out_text", cut: int = 6000) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
-from ..functions.text import lines
+from ..functions.text import lines, once
 from ..operators import attack, classify, detect, rewrite, routing, score, stats
 from ..sources import io
 from . import corpus as K
@@ -99,7 +100,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAT}, {DOCS}, {spans_cte()} SELECT doc_id, s::INT AS start, (s + length(t))::INT AS \"end\", name AS pattern, t AS span_text FROM pos")
 def span_detect(spark, sf_dir):
-    docs = K.spread(K.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", detect.raw_spans("text").alias("spans"))
+    docs = K.spread(K.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", detect.every_span("text").alias("spans"))
     return detect.explode_spans(docs, ["doc_id"]).drop("span_no")
 
 
@@ -157,10 +158,13 @@ def strip_spans(spark, sf_dir):
     return docs.select("doc_id", detect.strip_spans(F.col("text"), F.col("spans")).alias("stripped"))
 
 
-@query(f"WITH {PAT}, {CORPUS}, {spans_cte()}, {masked_cte()}, again AS (SELECT doc_id, out AS text FROM masked), {spans_cte('again', '2')}, x AS (SELECT unnest(k) AS x FROM kept2) SELECT x.name AS pattern, count(*) AS n FROM x GROUP BY x.name")
+_RESIDUES = f"corpus AS (SELECT doc_id, value AS text FROM ({K.values_sql(K.RESIDUES, 'duckdb')}))"
+
+
+@query(f"WITH {PAT}, {_RESIDUES}, {spans_cte()}, {masked_cte()}, again AS (SELECT doc_id, out AS text FROM masked), {spans_cte('again', '2')}, x AS (SELECT unnest(k) AS x FROM kept2) SELECT x.name AS pattern, count(*) AS n FROM x GROUP BY x.name")
 def residual_counts(spark, sf_dir):
-    out = rewrite.naive_mask(detect.detect(K.corpus(spark, sf_dir)))
-    again = out.select("doc_id", detect.residual("masked_text").alias("spans"))
+    texts = K.spread(K.values(spark, sf_dir, K.RESIDUES).withColumnRenamed("value", "text"))
+    again = rewrite.naive_mask(detect.detect(texts)).select("doc_id", detect.residual("masked_text").alias("spans"))
     return detect.explode_spans(again, ["doc_id"]).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
@@ -223,9 +227,11 @@ def naive_mask_prompts(spark, sf_dir):
     return rewrite.naive_mask(detect.detect(K.corpus(spark, sf_dir))).select("doc_id", "masked_text")
 
 
-def _rendered(pieces):
-    pieces = pieces.cast(rewrite.PIECES)
-    return rewrite.render(pieces, rewrite.name_slots(pieces, F.lit(SALT)))
+def _rendered(df: DataFrame, **pieces) -> DataFrame:
+    """The identifier and the text of each column of pieces."""
+    for name, column in pieces.items():
+        df = df.withColumn(name, once(column.cast(rewrite.PIECES)))
+    return df.select("doc_id", *[rewrite.finished(F.col(name), F.lit(SALT))["text"].alias(name) for name in pieces])
 
 
 _IP_KIND = " ".join(f"WHEN regexp_matches(value, {q(r)}) THEN {q(k)}" for k, r in C.IP_CLASSES)
@@ -234,7 +240,7 @@ _IP_KIND = " ".join(f"WHEN regexp_matches(value, {q(r)}) THEN {q(k)}" for k, r i
 @query(f"SELECT doc_id, {ph(f'CASE {_IP_KIND} ELSE {q("IP_PRIVATE")} END', 'value')} AS typed, regexp_replace(value, '\\.[0-9]+$', '.x') AS network FROM ({K.values_sql(K.IPS, 'duckdb')})")
 def abstract_ip(spark, sf_dir):
     v = F.col("value")
-    return K.values(spark, sf_dir, K.IPS).select("doc_id", _rendered(rewrite.abstract_ip(v, F.lit(False))).alias("typed"), _rendered(rewrite.abstract_ip(v, F.lit(True))).alias("network"))
+    return _rendered(K.values(spark, sf_dir, K.IPS), typed=rewrite.abstract_ip(v, F.lit(False)), network=rewrite.abstract_ip(v, F.lit(True)))
 
 
 @query(f"""WITH v AS (SELECT doc_id, value, value LIKE '_:%' AS win, list_filter(string_split(replace(value, chr(92), '/'), '/'), lambda x: x <> '') AS p FROM ({K.values_sql(K.PATHS, 'duckdb')})),
@@ -242,7 +248,7 @@ def abstract_ip(spark, sf_dir):
     SELECT doc_id, {ph('c', "array_to_string(p[1:n - least(n, 2)], '/')")} || CASE WHEN n > 2 THEN '/…/' ELSE '/' END || array_to_string(p[n - least(n, 2) + 1:n], '/') AS abstracted FROM w""")
 def abstract_path(spark, sf_dir):
     v = F.col("value")
-    return K.values(spark, sf_dir, K.PATHS).select("doc_id", _rendered(rewrite.abstract_path(v, v.rlike("^.:"))).alias("abstracted"))
+    return _rendered(K.values(spark, sf_dir, K.PATHS), abstracted=rewrite.abstract_path(v, v.rlike("^.:")))
 
 
 def _host(host: str, network: bool) -> str:
@@ -259,14 +265,14 @@ _URI = f"""SELECT doc_id, upper(regexp_extract(value, '^([a-z+]+):', 1)) AS sch,
 @query(f"SELECT doc_id, '<' || sch || '>://' || {_host('host', False)} || CASE WHEN path = '/' THEN '' ELSE path END AS typed, '<' || sch || '>://' || {_host('host', True)} || CASE WHEN path = '/' THEN '' ELSE path END AS network FROM ({_URI})")
 def abstract_uri(spark, sf_dir):
     v = F.col("value")
-    return K.values(spark, sf_dir, K.URIS).select("doc_id", _rendered(rewrite.abstract_uri(v, F.lit(False))).alias("typed"), _rendered(rewrite.abstract_uri(v, F.lit(True))).alias("network"))
+    return _rendered(K.values(spark, sf_dir, K.URIS), typed=rewrite.abstract_uri(v, F.lit(False)), network=rewrite.abstract_uri(v, F.lit(True)))
 
 
 @query(f"SELECT doc_id, {_host('host', False)} AS typed, {_host('host', True)} AS network FROM ({_URI}) WHERE host <> ''")
 def render_host(spark, sf_dir):
     host = F.regexp_extract("value", r"^[a-z+]+://(?:[^/@]*@)?([^/:?#]*)", 1)
     hosts = K.values(spark, sf_dir, K.URIS).select("doc_id", host.alias("host")).where("host <> ''")
-    return hosts.select("doc_id", _rendered(rewrite.render_host(F.col("host"), F.lit(False))).alias("typed"), _rendered(rewrite.render_host(F.col("host"), F.lit(True))).alias("network"))
+    return _rendered(hosts, typed=rewrite.render_host(F.col("host"), F.lit(False)), network=rewrite.render_host(F.col("host"), F.lit(True)))
 
 
 @query(f"""WITH v AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(value, ';'), lambda x: trim(x)), lambda x: contains(x, '='))) AS item, generate_subscripts(list_filter(string_split(value, ';'), lambda x: contains(x, '=')), 1) AS i FROM ({K.values_sql(K.CONNECTIONS, 'duckdb')})),
@@ -275,7 +281,7 @@ def render_host(spark, sf_dir):
         WHEN lower(k) IN ('server', 'data source') THEN {_host('v', False)} WHEN lower(k) IN ('database', 'initial catalog') THEN CASE WHEN regexp_matches(v, '^[A-Za-z0-9_.-]+$') THEN v ELSE {ph(q('DB_NAME'), 'v')} END ELSE v END AS o FROM kv)
     SELECT doc_id, string_agg(o, ';' ORDER BY i) AS abstracted FROM r GROUP BY doc_id""")
 def abstract_conn_kv(spark, sf_dir):
-    return K.values(spark, sf_dir, K.CONNECTIONS).select("doc_id", _rendered(rewrite.abstract_connection(F.col("value"))).alias("abstracted"))
+    return _rendered(K.values(spark, sf_dir, K.CONNECTIONS), abstracted=rewrite.abstract_connection(F.col("value")))
 
 
 @query(f"WITH {PAT}, {CORPUS}, {spans_cte()}, x AS (SELECT doc_id, unnest(k) AS x FROM kept) SELECT doc_id, x.s::INT AS start, '<SUPPRESSED:' || label || '>' AS suppressed FROM x JOIN pat ON x.name = pat.name")
@@ -346,6 +352,78 @@ def ablation_transform(spark, sf_dir):
     return E.apply(rows, policies).select("doc_id", "policy", "out_text")
 
 
+# The same from the texts themselves: what stands for a span, in SQL over its text.
+
+
+def _span_sql(t: str, label: str, name: str, network: str) -> str:
+    p = f"list_filter(string_split(replace({t}, chr(92), '/'), '/'), lambda x: x <> '')"
+    root = f"CASE WHEN {name} = 'windows_path' THEN CASE WHEN list_contains(({p})[1:3], 'Users') THEN 'WIN_HOME' ELSE 'WIN_ROOT' END ELSE CASE WHEN ({p})[1] = 'home' AND len({p}) > 1 THEN 'UNIX_HOME' ELSE 'UNIX_ROOT' END END"
+    path = f"{ph(f'({root})', f"array_to_string(({p})[1:len({p}) - least(len({p}), 2)], '/')")} || CASE WHEN len({p}) > 2 THEN '/…/' ELSE '/' END || array_to_string(({p})[len({p}) - least(len({p}), 2) + 1:len({p})], '/')"
+    ip = f"CASE WHEN {network} THEN regexp_replace({t}, '\\.[0-9]+$', '.x') ELSE {ph(f'(CASE {" ".join(f"WHEN regexp_matches({t}, {q(r)}) THEN {q(k)}" for k, r in C.IP_CLASSES)} ELSE {q("IP_PRIVATE")} END)', t)} END"
+    host = f"regexp_extract({t}, '^[A-Za-z+]+://(?:[^/@]*@)?([^/:?#]*)', 1)"
+    rest = f"CASE WHEN {name} = 'jdbc_url' THEN substr({t}, 6) ELSE regexp_extract({t}, '^[A-Za-z+]+://[^/?#]*([^?#]*)', 1) END"
+    uri = f"'<' || upper(regexp_extract({t}, '^([A-Za-z+]+):', 1)) || '>://' || CASE WHEN {network} THEN {_host(host, True)} ELSE {_host(host, False)} END || CASE WHEN {rest} = '/' THEN '' ELSE {rest} END"
+    key, val = "trim(split_part(i, '=', 1))", "trim(substr(i, strpos(i, '=') + 1))"
+    item = f"CASE WHEN lower({key}) IN ('password', 'pwd') THEN {ph(q('DB_PASS'), val)} WHEN lower({key}) IN ('user id', 'uid', 'username') THEN {ph(q('DB_USER'), val)} WHEN lower({key}) IN ('server', 'data source') THEN {_host(val, False)} WHEN lower({key}) IN ('database', 'initial catalog') THEN CASE WHEN regexp_matches({val}, '^[A-Za-z0-9_.-]+$') THEN {val} ELSE {ph(q('DB_NAME'), val)} END ELSE {val} END"
+    conn = f"array_to_string(list_transform(list_filter(list_transform(string_split({t}, ';'), lambda x: trim(x)), lambda x: contains(x, '=')), lambda i: {key} || '=' || {item}), ';')"
+    return f"CASE WHEN {name} = 'internal_ip' THEN {ip} WHEN {name} IN ('unix_path', 'windows_path') THEN {path} WHEN {name} IN ({', '.join(map(q, C.URI_PATTERNS))}) THEN {uri} WHEN {name} = 'connection_string_kv' THEN {conn} ELSE {ph(label, t)} END"
+
+
+_BOTH = f"corpus AS (SELECT doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT -doc_id - 1, text FROM ({K.corpus_sql('duckdb')}))"
+_REPLACED = f"""WITH {PAT}, {_BOTH}, {spans_cte()}, {KINDS_CTE}, x AS (SELECT doc_id, unnest(k) AS x FROM kept),
+    y AS (SELECT x.doc_id, x.s, x.e, artifact_kind, hr_rewrite, label, {_span_sql('x.t', 'label', 'x.name', "(artifact_kind = 'network_artifact')")} AS r FROM x JOIN pat ON x.name = pat.name JOIN kinds ON x.doc_id = kinds.doc_id),
+    z AS (SELECT doc_id, list({{'s': s, 'e': e, 'r': {{r}}}} ORDER BY s) AS l FROM y GROUP BY doc_id),
+    o AS (SELECT c.doc_id, text, CASE WHEN l IS NULL THEN text ELSE list_reduce(list_transform(l, lambda v, i: {{'e': v.e, 'o': CASE WHEN i = 1 THEN substr(text, 1, v.s) || v.r ELSE v.r END, 's': v.s}}),
+        lambda a, v: {{'e': v.e, 'o': a.o || substr(text, a.e + 1, v.s - a.e) || v.o, 's': v.s}}).o || substr(text, l[len(l)].e + 1) END AS out_text FROM corpus c LEFT JOIN z ON c.doc_id = z.doc_id)"""
+_SUPPRESSING = "('secret_blob', 'mixed_artifact')"
+
+
+def both(spark, sf_dir) -> DataFrame:
+    """Documents and derived prompts, detected and classified."""
+    docs = K.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return E.prepare(K.spread(docs.unionByName(K.corpus(spark, sf_dir).select((-F.col("doc_id") - 1).alias("doc_id"), "text"))))
+
+
+@query(_REPLACED.replace("{r}", "r") + " SELECT doc_id, out_text FROM o")
+def abstracted_texts(spark, sf_dir):
+    return E.routed("abstract_only", salt=SALT)(both(spark, sf_dir)).select("doc_id", "out_text")
+
+
+@query(_REPLACED.replace("{r}", f"CASE WHEN hr_rewrite AND artifact_kind IN {_SUPPRESSING} THEN '<SUPPRESSED:' || label || '>' ELSE r END") + " SELECT o.doc_id, artifact_kind, out_text FROM o JOIN kinds ON o.doc_id = kinds.doc_id WHERE artifact_kind NOT IN ('stack_trace', 'config_blob', 'filesystem_trace')")
+def routed_texts(spark, sf_dir):
+    rows = both(spark, sf_dir).where(~F.col("artifact_kind").isin("stack_trace", "config_blob", "filesystem_trace"))
+    return E.routed("routed", salt=SALT)(rows).select("doc_id", "artifact_kind", "out_text")
+
+
+_COUNTED = f"""WITH {PAT}, {_BOTH}, {spans_cte()}, {KINDS_CTE}, x AS (SELECT doc_id, unnest(k) AS x FROM kept),
+    h AS (SELECT x.doc_id, count(*) FILTER (hr_rewrite) AS high, count(*) AS n FROM x JOIN pat ON x.name = pat.name GROUP BY x.doc_id),
+    c AS (SELECT k.doc_id, artifact_kind, coalesce(high, 0) AS high, coalesce(n, 0) AS n, artifact_kind NOT IN ('stack_trace', 'config_blob', 'filesystem_trace', 'clean_text') AS spans, artifact_kind IN {_SUPPRESSING} AS sup FROM kinds k LEFT JOIN h ON k.doc_id = h.doc_id),
+    d AS (SELECT *, CASE WHEN sup THEN high ELSE 0 END AS suppressed, CASE WHEN spans THEN n - CASE WHEN sup THEN high ELSE 0 END ELSE 0 END AS abstracted, CASE WHEN spans AND NOT sup THEN high ELSE 0 END AS high_abstracted FROM c)"""
+
+
+@query(_COUNTED + """ SELECT doc_id, high::INT AS high_risk_span_count, suppressed::INT AS high_risk_suppress_count, high_abstracted::INT AS high_risk_abstract_count,
+    array_to_string(list_filter([CASE artifact_kind WHEN 'stack_trace' THEN 'SUMMARIZE=1' WHEN 'config_blob' THEN 'CANONICALIZE=1' WHEN 'filesystem_trace' THEN 'GENERALIZE=1' END, CASE WHEN suppressed > 0 THEN 'SUPPRESS=' || suppressed END, CASE WHEN abstracted > 0 THEN 'ABSTRACT=' || abstracted END], lambda x: x IS NOT NULL), ',') AS operator_counts FROM d""")
+def operator_counts(spark, sf_dir):
+    rows = E.routed("routed", salt=SALT)(both(spark, sf_dir))
+    shown = F.array_join(F.transform(F.map_entries("operator_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rows.select("doc_id", "high_risk_span_count", "high_risk_suppress_count", "high_risk_abstract_count", shown.alias("operator_counts"))
+
+
+@query(_COUNTED + " SELECT doc_id, round(CASE WHEN high > 0 THEN (0.3 * suppressed + 0.7 * high_abstracted) / high WHEN suppressed + abstracted > 0 THEN (0.3 * suppressed + 0.7 * abstracted) / (suppressed + abstracted) ELSE 0 END, 9)::DOUBLE AS type_disclosure_rate FROM d")
+def routed_type_disclosure(spark, sf_dir):
+    rows = score.score(E.routed("routed", salt=SALT)(both(spark, sf_dir)))
+    return rows.select("doc_id", F.round("type_disclosure_rate", 9).alias("type_disclosure_rate"))
+
+
+@query(_REPLACED.replace("{r}", f"CASE WHEN hr_rewrite AND artifact_kind IN {_SUPPRESSING} THEN '<SUPPRESSED:' || label || '>' ELSE r END") + """, hs AS (SELECT x.doc_id, x.t FROM x JOIN pat ON x.name = pat.name WHERE hr_rewrite)
+    SELECT o.doc_id, count(hs.t)::INT AS high_risk_spans_checked, count(*) FILTER (contains(out_text, hs.t))::INT AS violations, round(coalesce(count(*) FILTER (contains(out_text, hs.t)) / nullif(count(hs.t), 0)::DOUBLE, 0.0), 9) AS violation_rate, count(*) FILTER (contains(out_text, hs.t)) = 0 AS guarantee_holds
+    FROM o JOIN kinds ON o.doc_id = kinds.doc_id LEFT JOIN hs ON o.doc_id = hs.doc_id WHERE artifact_kind NOT IN ('stack_trace', 'config_blob', 'filesystem_trace') GROUP BY o.doc_id""")
+def suppress_guarantee(spark, sf_dir):
+    rows = both(spark, sf_dir).where(~F.col("artifact_kind").isin("stack_trace", "config_blob", "filesystem_trace"))
+    out = stats.suppress_guarantee(E.routed("routed", salt=SALT)(rows))
+    return out.select("doc_id", "high_risk_spans_checked", "violations", F.round("violation_rate", 9).alias("violation_rate"), "guarantee_holds")
+
+
 _PH = " UNION ALL ".join(
     f"SELECT o_orderkey AS doc_id, {ph(q(t), v)} AS placeholder, {v} AS original_value FROM orders WHERE o_orderkey % {len(K.TEMPLATES)} = {i}"
     for i, t, v in (
@@ -366,13 +444,6 @@ def placeholder_type_counts(spark, sf_dir):
     return rows.groupBy("doc_id", attack.placeholder_type(F.col("placeholder")).alias("type")).agg(F.count_distinct("original_value").alias("n"))
 
 
-@query(f"SELECT o_orderkey AS doc_id, (CASE o_orderkey % 12 WHEN 3 THEN 1 WHEN 11 THEN 3 ELSE 0 END)::INT AS high_risk_span_count, (CASE o_orderkey % 12 WHEN 3 THEN 1 WHEN 11 THEN 3 ELSE 0 END)::INT AS high_risk_suppress_count, 0::INT AS high_risk_abstract_count, CASE o_orderkey % 12 WHEN 0 THEN 'CANONICALIZE=1' WHEN 1 THEN 'ABSTRACT=2' WHEN 2 THEN 'GENERALIZE=1' WHEN 3 THEN 'SUPPRESS=1' WHEN 4 THEN 'ABSTRACT=1' WHEN 5 THEN 'SUMMARIZE=1' WHEN 6 THEN 'ABSTRACT=2' WHEN 8 THEN 'ABSTRACT=2' WHEN 9 THEN 'ABSTRACT=1' WHEN 10 THEN 'GENERALIZE=1' WHEN 11 THEN 'SUPPRESS=3' ELSE '' END AS operator_counts FROM orders")
-def operator_counts(spark, sf_dir):
-    rows = E.routed("routed", salt=SALT)(prepared(spark, sf_dir))
-    shown = F.array_join(F.transform(F.map_entries("operator_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return rows.select("doc_id", "high_risk_span_count", "high_risk_suppress_count", "high_risk_abstract_count", shown.alias("operator_counts"))
-
-
 @query(f"""WITH v AS (SELECT doc_id, value, list_filter(string_split(replace(value, chr(92), '/'), '/'), lambda x: x <> '') AS p FROM ({K.values_sql(K.PATHS, 'duckdb')}))
     SELECT doc_id, CASE WHEN len(p) <= 2 THEN value WHEN p[1] = 'home' THEN '<UNIX_HOME>/…/' || array_to_string(p[-2:], '/') WHEN p[1] = 'Users' THEN '<WIN_HOME>/…/' || array_to_string(p[-2:], '/') ELSE '/' || p[1] || '/…/' || array_to_string(p[-2:], '/') END AS shown FROM v""")
 def frame_paths(spark, sf_dir):
@@ -543,12 +614,6 @@ def linkage_determinism(spark, sf_dir):
     return out.withColumn("within_corpus_determinism_rate", F.round("within_corpus_determinism_rate", 9))
 
 
-@query("SELECT o_orderkey AS doc_id, (CASE o_orderkey % 12 WHEN 3 THEN 1 WHEN 11 THEN 3 ELSE 0 END)::INT AS high_risk_spans_checked, 0::INT AS violations, 0.0::DOUBLE AS violation_rate, true AS guarantee_holds FROM orders")
-def suppress_guarantee(spark, sf_dir):
-    out = stats.suppress_guarantee(E.routed("routed", salt=SALT)(prepared(spark, sf_dir)))
-    return out.select("doc_id", "high_risk_spans_checked", "violations", "violation_rate", "guarantee_holds")
-
-
 _RATES = "SELECT o_orderpriority AS grp, avg(CASE WHEN o_orderkey % 7 < 3 THEN 1 ELSE 0 END) AS exact_match_rate, avg(CASE WHEN o_orderkey % 7 < 7 THEN 1 ELSE 0 END) AS format_match_rate FROM orders GROUP BY o_orderpriority"
 
 
@@ -938,6 +1003,133 @@ def report_join(spark, sf_dir):
     return out.select("kind", F.round("auto_s", 9).alias("auto_s"), F.round("recon_s", 9).alias("recon_s"))
 
 
+def _written(df: DataFrame, name: str) -> str:
+    """The rows as files of JSON lines in the shared folder."""
+    path = f"{io.shared_dir(df.sparkSession)}/inkveil-{uuid.uuid4().hex[:12]}-{name}"
+    df.write.json(path)
+    return path
+
+
+@query("SELECT 'm' || (o_orderkey // 100) AS name, (row_number() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) - 1)::INT AS position, o_orderkey AS index, o_orderstatus || ' \"é\"' AS prompt_text, CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE o_orderpriority END AS artifact_kind, count(*) OVER (PARTITION BY o_orderkey // 100) AS selected_count FROM orders")
+def json_manifests(spark, sf_dir):
+    """Manifests of up to a hundred prompts, written as JSON and read back."""
+    o = K.table(spark, sf_dir, "orders")
+    record = F.struct(F.col("o_orderkey").alias("index"), F.concat("o_orderstatus", F.lit(' "é"')).alias("prompt_text"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("artifact_kind"))
+    group = F.floor(F.col("o_orderkey") / 100)
+    rows = o.groupBy(F.concat(F.lit("m"), group.cast("string")).alias("name")).agg(F.count("*").alias("selected_count"), F.sort_array(F.collect_list(record)).alias("records"))
+    return io.read_manifest(spark, _written(rows, "manifests"), lines=True).select("name", "position", "index", "prompt_text", "artifact_kind", "selected_count")
+
+
+@query("SELECT coalesce(source, 'unknown') AS dataset, (row_number() OVER (PARTITION BY source, doc_id // 50 ORDER BY doc_id) - 1)::INT AS prompt_index, text AS prompt_text FROM documents WHERE text IS NOT NULL")
+def json_prompts(spark, sf_dir):
+    d = K.table(spark, sf_dir, "documents").where("text is not null")
+    rows = d.groupBy(F.col("source").alias("dataset"), F.floor(F.col("doc_id") / 50).alias("g")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("r"))
+    rows = rows.select("dataset", F.transform("r", lambda x: x["text"]).alias("unique_prompts"))
+    return io.read_prompts(spark, _written(rows, "prompts"), lines=True)
+
+
+@query("SELECT text AS prompt_text, quality::INT AS label, lang || '-' || quality AS strat_key FROM documents JOIN labels USING (doc_id)")
+def json_dataset(spark, sf_dir):
+    d, lab = K.table(spark, sf_dir, "documents"), K.table(spark, sf_dir, "labels")
+    rows = d.join(lab, "doc_id").select(F.col("text").alias("prompt_text"), F.col("quality").alias("label"), F.concat_ws("-", "lang", F.col("quality").cast("string")).alias("strat_key"))
+    return io.read_dataset(spark, _written(rows, "dataset"), lines=True)
+
+
+@query("SELECT o_orderkey AS index, o_orderkey * 2 AS twice FROM orders WHERE o_orderkey % 7 > 0")
+def resumed_run(spark, sf_dir):
+    """A run in parts, stopped and taken up again; rows without output are not done twice."""
+    path = f"{io.shared_dir(spark)}/inkveil-{uuid.uuid4().hex[:12]}-resumed"
+    todo = K.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
+    work = lambda df: df.where("index % 7 > 0").withColumn("twice", F.col("index") * 2)
+    size = todo.count()
+    io.resume(todo.where("index % 2 = 0"), path, work, guard="m", every=max(1, size // 3))
+    return io.resume(todo, path, work, guard="m", every=max(1, size // 3)).select("index", "twice")
+
+
+_JUDGED_ROWS = "SELECT o_orderkey AS index, CASE o_orderkey % 5 WHEN 0 THEN 'config_blob' ELSE 'mixed_artifact' END AS artifact_kind, CASE o_custkey % 3 WHEN 0 THEN 'naive_mask' ELSE 'tagger' END AS baseline, CASE o_custkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'TIE' ELSE 'a' END AS winner FROM orders"
+_SHARDS = f"(SELECT * FROM ({_JUDGED_ROWS}) WHERE index % 2 = 0 UNION ALL SELECT * FROM ({_JUDGED_ROWS}) WHERE index % 3 = 0)"
+_COUNTS = "count(*) AS total, count(*) FILTER (upper(winner) = 'A') AS wins, count(*) FILTER (upper(winner) = 'B') AS losses, round(coalesce(count(*) FILTER (upper(winner) = 'A') / nullif(count(*) FILTER (upper(winner) IN ('A', 'B')), 0)::DOUBLE, 0.0), 9) AS decisive_win_rate"
+
+
+@query(f"SELECT NULL AS artifact_kind, baseline, {_COUNTS} FROM {_SHARDS} GROUP BY baseline UNION ALL SELECT artifact_kind, baseline, {_COUNTS} FROM {_SHARDS} GROUP BY artifact_kind, baseline")
+def merged_summary(spark, sf_dir):
+    j = K.from_orders(spark, sf_dir, _JUDGED_ROWS)
+    out = io.merge_and_summarise([j.where("index % 2 = 0"), j.where("index % 3 = 0")])
+    rows = out["summary"].withColumn("artifact_kind", F.lit(None).cast("string")).unionByName(out["by_artifact"])
+    return rows.select("artifact_kind", "baseline", "total", "wins", "losses", F.round("decisive_win_rate", 9).alias("decisive_win_rate"))
+
+
+# ---------------------------------------------------------------- inference and experiments
+
+
+def word_model():
+    """A stand-in for an encoder: logits from a text's length and words."""
+    return lambda texts: [[(len(t) % 7) / 2, (t.count(" ") % 5) / 2] for t in texts]
+
+
+_INFERRED = "SELECT doc_id, lang, l.quality AS label, (length(text) % 7) / 2.0::DOUBLE AS a, ((length(text) - length(replace(text, ' ', ''))) % 5) / 2.0::DOUBLE AS b FROM (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents) d LEFT JOIN labels l USING (doc_id)"
+
+
+def inferred(spark, sf_dir) -> DataFrame:
+    d, lab = K.table(spark, sf_dir, "documents"), K.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return classify.infer(d.select("doc_id", "lang", "text"), word_model).drop("text").join(lab, "doc_id", "left")
+
+
+@query(f"SELECT doc_id, (b > a)::INT AS pred, round(exp(b) / (exp(a) + exp(b)), 9) AS score FROM ({_INFERRED})")
+def batch_inference(spark, sf_dir):
+    return inferred(spark, sf_dir).select("doc_id", "pred", F.round("score", 9).alias("score"))
+
+
+@query(f"SELECT lang, count(*) FILTER (label = 1 AND b > a) AS tp, count(*) FILTER (label <> 1 AND b > a) AS fp, count(*) FILTER (label <> 1 AND NOT b > a) AS tn, count(*) FILTER (label = 1 AND NOT b > a) AS fn, round(avg((label = (b > a)::INT)::INT), 9) AS accuracy FROM ({_INFERRED}) WHERE label IS NOT NULL GROUP BY lang")
+def experiment_report(spark, sf_dir):
+    out = classify.experiment_report(inferred(spark, sf_dir).where("label is not null"), ["lang"])
+    return out.select("lang", "tp", "fp", "tn", "fn", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query()
+def classification_bootstrap(spark, sf_dir):
+    return stats.classification_bootstrap(inferred(spark, sf_dir).where("label is not null"))
+
+
+_RUNS = "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'roberta-base__cls' WHEN 1 THEN 'bert-base-uncased__mean' WHEN 2 THEN 'distilbert-base-uncased__max' ELSE 'unheard_of' END AS experiment_id, CAST(CASE WHEN o_orderkey % 4 = 1 THEN 1 + o_custkey % 2 ELSE o_custkey % 3 END AS INT) AS return_code, CAST(o_custkey % 91 AS DOUBLE) / 91 AS accuracy FROM orders"
+
+
+@query(f"""WITH g AS (SELECT m AS model_name, p AS pooling, replace(m, '/', '_') || '__' || p AS experiment_id FROM (VALUES {', '.join(f'({q(m)})' for m in C.ENCODERS)}) AS a(m), (VALUES ('cls'), ('mean'), ('max')) AS b(p)), r AS (SELECT experiment_id, return_code, accuracy, row_number() OVER (PARTITION BY experiment_id ORDER BY return_code, accuracy DESC) AS i FROM ({_RUNS}))
+    SELECT model_name, pooling, g.experiment_id, CASE WHEN i IS NULL THEN 'missing' WHEN return_code = 0 THEN 'done' ELSE 'failed (' || return_code || ')' END AS status, round(accuracy, 9) AS accuracy FROM g LEFT JOIN r ON g.experiment_id = r.experiment_id AND i = 1""")
+def grid_status(spark, sf_dir):
+    return classify.grid_status(spark, K.from_orders(spark, sf_dir, _RUNS)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+_CI = "SELECT CAST(o_orderkey AS VARCHAR) AS experiment_id, 'auroc' AS metric, CAST(o_custkey % 97 AS DOUBLE) / 97 AS mean, 0.0 AS ci_lo, 1.0 AS ci_hi FROM orders WHERE o_orderkey % {a} = 0 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'accuracy', CAST(o_custkey % 89 AS DOUBLE) / 89, 0.0, 1.0 FROM orders WHERE o_orderkey % {b} = 0"
+_CI1, _CI2 = _CI.format(a=2, b=4), _CI.format(a=3, b=5)
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS phase, experiment_id, string_agg(metric || '=' || round(mean * 1000)::INT, ',' ORDER BY metric) AS shown FROM ({c}) GROUP BY experiment_id" for p, c in (("phase1", _CI1), ("phase2", _CI2))))
+def collated_intervals(spark, sf_dir):
+    o = K.table(spark, sf_dir, "orders")
+    phases = [(p, spark.sql(c.replace("VARCHAR", "STRING").replace("FROM orders", "FROM {orders}"), orders=o)) for p, c in (("phase1", _CI1), ("phase2", _CI2))]
+    shown = F.array_join(F.transform(F.map_entries("bootstrap_ci"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"]["mean"] * 1000).cast("int").cast("string"))), ",")
+    return classify.collate(phases).select("phase", "experiment_id", shown.alias("shown"))
+
+
+@query(f"""WITH {PAT}, {_POS}, b(text) AS (VALUES {', '.join(f'({_sqltext(x)})' for x in K.BENIGN)}), r AS (SELECT t, avg(regexp_matches(text, re)::INT) AS recall, count(*) FILTER (regexp_matches(text, re)) AS d, count(*) AS n FROM fix JOIN pat ON t = name GROUP BY t),
+    f AS (SELECT text, (SELECT bool_or(regexp_matches(b.text, re)) FROM pat) AS hit FROM b)
+    SELECT round((SELECT sum(d) / sum(n) FROM r), 9) AS overall_recall, (SELECT count(*) FROM r WHERE recall < 1)::INT AS n_weak, round(avg(hit::INT), 9) AS false_positive_rate, string_agg(text, '|' ORDER BY text) FILTER (hit) AS false_positives, 1.0::DOUBLE AS key_aware_rate, 1.0::DOUBLE AS kind_accuracy, round(1 - (SELECT sum(d) / sum(n) FROM r), 9) AS missed_span_rate FROM f""")
+def coverage_report(spark, sf_dir):
+    out = E.coverage(K.positives(spark), K.benign(spark), K.key_fixtures(spark), K.kind_fixtures(spark))
+    return out.select(
+        F.round("overall_recall", 9).alias("overall_recall"), F.size("weak_types").alias("n_weak"), F.round("false_positive_rate", 9).alias("false_positive_rate"),
+        F.array_join("false_positive_examples", "|").alias("false_positives"), "key_aware_rate", "kind_accuracy", F.round("implication.missed_span_rate", 9).alias("missed_span_rate"),
+    )
+
+
+@query()
+def attack_dispatch(spark, sf_dir):
+    rows = prepared(spark, sf_dir)
+    mixed = E.apply(rows, [E.routed("routed", salt=SALT), E.naive()]).withColumn("doc_id", F.concat_ws("-", "policy", F.col("doc_id").cast("string")))
+    return attack.attempt_rates(E.attempt_any(mixed, "doc_id", stub, "m"), ["placeholder_type"])
+
+
 @query()
 def policy_evaluation(spark, sf_dir):
     """All ablation policies, scored and broken down: the whole evaluation in one plan."""

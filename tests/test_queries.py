@@ -38,6 +38,6 @@ def test_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL) - {"policy_evaluation", "logistic_baseline", "pairwise_benchmark", "language_model_policy"}))
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
 def test_rows(spark, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
