@@ -4,19 +4,18 @@ buffers as numpy arrays, and vectorised word splitting and hashing."""
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 import uuid
-import zipfile
 from contextlib import contextmanager
 from contextvars import ContextVar
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship as ship_package
+from ..sources.io import shared_dir
+
 #: Text handled at once by the numpy code, in bytes (a longer document is handled alone).
 CHUNK_BYTES = 1 << 20
 
@@ -24,42 +23,17 @@ _staged: dict[str, list[tuple[SparkSession, str]]] = {}
 _owner: ContextVar[str] = ContextVar("owner", default="")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the setting is absent and all runs in one process (local
-    runs, tests); on a cluster its absence is an error.
-    """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not d:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="inkveil-")
-        sc.setCheckpointDir(d)
-    return d
-
-
 #: Rows of an Arrow batch: documents can be long, and a batch is held whole by a Python worker.
 BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whose Python workers import it by name, and bound the
-    batches they get: a setting of the session, which its other queries get too (a lower one of the
-    session's own stays)."""
-    sc = spark.sparkContext
+    """Send this package to the executors and bound the batches their Python workers get: a setting
+    of the session, which its other queries get too (a lower one of the session's own stays)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
-    if not getattr(sc, "_inkveil_shipped", False):
-        root = Path(__file__).resolve().parents[2]
-        name = Path(tempfile.mkdtemp(prefix="inkveil-zip-")) / "inkveil.zip"
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted((root / "inkveil").rglob("*.py")):
-                z.write(f, f.relative_to(root))
-        sc.addPyFile(str(name))
-        sc._inkveil_shipped = True
+    ship_package(spark)
 
 
 def lean(run):
