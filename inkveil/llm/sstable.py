@@ -171,8 +171,8 @@ def open_table(path: str) -> Reader:
 # ---------------------------------------------------------------- encoding
 
 _encoders: dict = {}
-#: Entries of a worker's caches; a full cache is emptied, which costs time and changes no result.
-CACHE = 250_000
+#: Entries of a worker's caches, which change no result.
+CACHE = 400_000
 _PLAIN = 0x250
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -204,6 +204,7 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
     def pack(self, ids) -> bytes:
@@ -218,28 +219,38 @@ class WordEncoder:
         return ids
 
     def word(self, raw: bytes) -> bytes:
-        text = raw.decode()
-        if "<|" in text or max(text) >= chr(_PLAIN) or len(text) > 200:
-            return self.pack(self.whole.encode(text, add_special_tokens=False).ids)
-        text = text.lower()
+        if raw.isascii():
+            text = raw.lower().decode()
+            plain = True
+        else:
+            text = raw.decode()
+            plain = max(text) < chr(_PLAIN)
+            text = text.lower() if plain else text
+        if not plain or "<|" in text or len(text) > 200:
+            return self.pack(self.whole.encode(raw.decode(), add_special_tokens=False).ids)
+        if (ids := self.runs.get(text)) is not None:
+            return ids
         if text.isalpha():  # letters only: one match of the pattern
             return self.run(text)
-        if text[:-1].isalpha() and text[-1] in ".,;:!?":
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
             return self.run(text[:-1]) + self.run(text[-1])
         return b"".join(map(self.run, self.pattern.findall(text)))
 
     def text(self, raw: bytes) -> bytes:
         if not self.by_word:
             return self.pack(self.whole.encode(raw.decode(), add_special_tokens=False).ids)
-        words, known = raw.split(), self.words
-        ids = list(map(known.get, words))
+        words = raw.split()
+        ids = list(map(self.words.get, words))
         if None in ids:
-            if len(known) >= CACHE:
-                known.clear()
+            if len(self.words) >= CACHE // 2:  # what is still in use is taken over from the older half
+                self.words, self.older = {}, self.words
+            known, older = self.words, self.older
             for i, x in enumerate(ids):
                 if x is None:
                     if (x := known.get(w := words[i])) is None:
-                        x = known[w] = self.word(w)
+                        if (x := older.get(w)) is None:
+                            x = self.word(w)
+                        known[w] = x
                     ids[i] = x
         return b"".join(ids)
 
