@@ -153,13 +153,18 @@ SUPPRESSED_SYSTEM = "A text had its secrets replaced by marks such as <SUPPRESSE
 BLIND_SYSTEM = "A text had its sensitive values replaced by <REDACTED>, without type or code. Work out from the text around each mark what it most likely was, in the order in which they stand, counting from 1. " + _ATTEMPTS % 'index": 1'
 
 
+#: The key's name while attempts, which have an index of their own, are joined.
+_KEY = "attacked_row"
+
+
 def _of_typed(results: DataFrame, key: str, generate: attack.Generate, model: str, suppressed: bool) -> DataFrame:
+    results = results.withColumnRenamed(key, _KEY)
     wanted = F.map_filter("placeholders", lambda k, _: k.startswith("<SUPPRESSED:") == F.lit(suppressed))
     typed = results.withColumn("placeholders", wanted).where(F.size(F.map_keys("placeholders")) > 0)
-    prompts = typed.select(key, F.concat(F.lit("Text:\n"), F.substring("out_text", 1, 6000)).alias("prompt"))
+    prompts = typed.select(_KEY, F.concat(F.lit("Text:\n"), F.substring("out_text", 1, 6000)).alias("prompt"))
     answers = attack.ask(prompts, generate, model, SUPPRESSED_SYSTEM if suppressed else TYPED_SYSTEM).where("error is null")
-    targets = attack.typed_targets(typed, key).join(answers.select(key), key, "left_semi")
-    return attack.join_typed(targets, attack.parse_attempts(answers, key), key)
+    targets = attack.typed_targets(typed, _KEY).join(answers.select(_KEY), _KEY, "left_semi")
+    return attack.join_typed(targets, attack.parse_attempts(answers, _KEY), _KEY).withColumnRenamed(_KEY, key)
 
 
 def reconstruct(results: DataFrame, key: str, generate: attack.Generate, model: str) -> DataFrame:
@@ -176,11 +181,11 @@ def attempt_any(results: DataFrame, key: str, generate: attack.Generate, model:
 
 
 def reconstruct_blind(results: DataFrame, key: str, generate: attack.Generate, model: str) -> DataFrame:
-    some = results.where(F.size("spans") > 0)
-    prompts = some.select(key, F.concat(F.lit("Text:\n"), F.substring("out_text", 1, 6000), F.lit("\n\nThere are "), F.size("spans").cast("string"), F.lit(" of them.")).alias("prompt"))
+    some = results.withColumnRenamed(key, _KEY).where(F.size("spans") > 0)
+    prompts = some.select(_KEY, F.concat(F.lit("Text:\n"), F.substring("out_text", 1, 6000), F.lit("\n\nThere are "), F.size("spans").cast("string"), F.lit(" of them.")).alias("prompt"))
     answers = attack.ask(prompts, generate, model, BLIND_SYSTEM).where("error is null")
-    spans = detect.explode_spans(some.join(answers.select(key), key, "left_semi"), [key])
-    return attack.join_blind(spans, attack.parse_attempts(answers, key), key)
+    spans = detect.explode_spans(some.join(answers.select(_KEY), _KEY, "left_semi"), [_KEY])
+    return attack.join_blind(spans, attack.parse_attempts(answers, _KEY), _KEY).withColumnRenamed(_KEY, key)
 
 
 # ---------------------------------------------------------------- coverage of the detector

@@ -120,7 +120,8 @@ def resume(todo: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], k
         if guard is not None and done.where(~F.col("manifest_hash").eqNullSafe(F.lit(guard))).limit(1).count():
             raise ValueError("results are of another manifest")
         todo = remaining(todo, done, key)
-    parts = max(1, -(-todo.count() // every)) if every else 1
+    left = todo.count()
+    parts = 0 if not left and exists(spark, marks) else max(1, -(-left // every)) if every else 1
     share = F.pmod(F.xxhash64(key), F.lit(parts))
     run = uuid.uuid4().hex[:12]
     for i in range(parts):

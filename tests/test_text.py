@@ -350,6 +350,35 @@ def test_cli(spark, tmp_path):
     assert out.count() == 1 and out.first()["categories"] == ["PII"]
 
 
+def test_cli_resumes(spark, tmp_path):
+    from inkveil import cli
+
+    body = {"name": "m", "selected_count": 3, "artifact_counts": {}, "records": [{"index": 1, "prompt_text": "mail a@example.com"}, {"index": 2, "prompt_text": "clean"}, {"index": 5, "prompt_text": "to b@example.org"}]}
+    (tmp_path / "m.json").write_text(json.dumps(body))
+    asked = f"{tmp_path}/asked"
+
+    def generate(model, system, prompt):
+        with open(asked, "a") as f:
+            f.write(f"{model}\n")
+        if "winner" in system:
+            return '{"winner": "A", "reason": ""}'
+        return json.dumps({"primary_issue": "x", "attempts": [{"placeholder": p, "reconstructed_value": "a@example.com"} for p in re.findall("<EMAIL:[0-9a-f]{4}>", prompt)]})
+
+    def run(command, every):
+        out = cli.run(spark, [command, "--manifest", f"{tmp_path}/m.json", "--output", f"file://{tmp_path}/o", "--model", "m", "--resume", "--checkpoint-every", every], generate).collect()
+        with open(asked) as f:
+            return out, len(f.readlines())
+
+    first, calls = run("attack", "3")
+    assert [(r["placeholder_type"], r["total_attempts"], r["exact_match_rate"]) for r in first] == [("EMAIL", 2, 0.5)]
+    again, after = run("attack", "3")
+    assert again == first and after == calls  # clean rows are done too, and no call is made twice
+    judged, _ = run("judge", "3")
+    assert {(r["baseline"], r["artifact_kind"], r["total"], r["wins"]) for r in judged} == {("naive_mask", None, 3, 3), ("naive_mask", "identifier_blob", 2, 2), ("naive_mask", "clean_text", 1, 1)}
+    lines = [r["line"] for r in io.read_log(spark, f"file://{tmp_path}/o/log").collect()]
+    assert len(lines) == 6 and lines[1] == "attack rows=2"
+
+
 def test_language_models_and_taggers_get_the_whole_text(spark):
     df = frame(spark, ["x" * 7000 + " end", "y" * 120_000 + " Ann", None])
     got = E.language_model(lambda model, system, prompt: prompt.upper(), "m")(df).orderBy("doc_id").collect()
