@@ -18,7 +18,7 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
 
 def sanitize_stream(stream: DataFrame, text: str = "text", policy: str = "routed", salt: str = rewrite.DEFAULT_SALT) -> DataFrame:
     """Detect, classify, route (a join with eight static rows) and rewrite."""
-    prepared = routing.classify(detect.detect(stream, text), text)
+    prepared = routing.prepare(stream, text)
     return rewrite.transform(routing.route(prepared, policy), policy, text, salt)
 
 
