@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import catalog as C
+from ..functions.ship import ship
+from ..functions.text import once
 
 
 def _rate(a: Column, b: Column) -> Column:
@@ -217,6 +219,8 @@ def with_terms(df: DataFrame, text: str = "text", kind: str = "word") -> DataFra
 
 # ---------------------------------------------------------------- inference
 
+_INFERRED = T.StructType([T.StructField("pred", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
 #: Logits of a batch of texts, one list of numbers a text.
 Predict = Callable[[list[str]], list[list[float]]]
 
@@ -228,22 +232,23 @@ def infer(df: DataFrame, load: Callable[[], Predict], text: str = "text", batch:
     ``load`` gives the model, tokenising and truncation included, and is called once a task.  Texts
     come in batches; null texts count as empty.
     """
-    at, schema = df.columns.index(text), T.StructType([*df.schema.fields, T.StructField("pred", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches):
+    @F.arrow_udf(_INFERRED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = None
         for rows in batches:
             predict = predict or load()
-            texts, pred, score = [t or "" for t in rows.column(at).to_pylist()], [], []
-            for i in range(0, len(texts), batch):
-                logits = np.asarray(predict(texts[i : i + batch]), dtype=np.float64)
+            pred, score = [], []
+            for i in range(0, len(rows), batch):
+                logits = np.asarray(predict([t or "" for t in rows.slice(i, batch).to_pylist()]), dtype=np.float64)
                 e = np.exp(logits - logits.max(axis=1, keepdims=True))
                 p, best = e / e.sum(axis=1, keepdims=True), logits.argmax(axis=1)
                 pred += best.tolist()
                 score += (p[:, 1] if p.shape[1] > 1 else p[:, 0]).tolist()
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.int32()), pa.array(score, pa.float64())], schema.names)
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.int32()), pa.array(score, pa.float64())], ["pred", "score"])
 
-    return df.mapInArrow(run, schema)
+    ship(df.sparkSession)
+    return df.withColumn("__inferred", once(run(F.col(text)))).select(*df.columns, "__inferred.*")
 
 
 def experiment_report(predicted: DataFrame, by: list[str], label: str = "label") -> DataFrame:
