@@ -311,6 +311,8 @@ def benchmark(prepared: DataFrame, key: str, policies: list[Policy], generate: a
 
 
 def benchmark_summary(judged: DataFrame) -> DataFrame:
-    """By baseline, overall and by kind."""
-    overall = stats.pairwise_summary(judged, ["baseline"]).withColumn("artifact_kind", F.lit(None).cast("string"))
-    return overall.unionByName(stats.pairwise_summary(judged, ["baseline", "artifact_kind"]))
+    """By baseline, overall (kind null) and by kind, in one pass: judging is the costly part."""
+    level = lambda overall, kind: F.struct(F.lit(overall).alias("overall"), kind.cast("string").alias("artifact_kind"))
+    rows = judged.withColumn("__level", F.explode(F.array(level(True, F.lit(None)), level(False, F.col("artifact_kind")))))
+    out = stats.pairwise_summary(rows.select("baseline", "winner", F.col("__level.overall").alias("overall"), F.col("__level.artifact_kind").alias("artifact_kind")), ["baseline", "overall", "artifact_kind"])
+    return out.select("baseline", *[c for c in out.columns if c not in ("baseline", "overall", "artifact_kind")], "artifact_kind")
