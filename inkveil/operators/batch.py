@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +22,7 @@ from ..functions import catalog as C
 #: Characters beside A-Z and a-z that ignoring case takes for one of them (long s, Kelvin sign,
 #: dotless and dotted i), and the letters they stand for.
 ODD_CASE, PLAIN_CASE = "\u017f\u212a\u0131\u0130", "skii"
-_ODD = str.maketrans(ODD_CASE, PLAIN_CASE)
+_ODD = [(a.encode(), b.encode()) for a, b in zip(ODD_CASE, PLAIN_CASE, strict=True)]
 #: Rows whose values are Python objects at a time.
 ROWS = 500
 
@@ -30,48 +31,60 @@ Span = tuple[int, int, int, int, str, str]  # start, start - end, priority, end,
 
 # ---------------------------------------------------------------- detection
 
-#: Patterns without a literal: every match has so many letters or digits of ASCII in a row, unless
-#: the text has other digits.
-_RUNS = {"discord_token": 24, "credit_card": 13, "iban": 15, "crypto_private_key": 51}
-_RUN_TABLE = bytes(97 if chr(i).isalnum() and i < 128 else 32 for i in range(256))
+#: Patterns without a literal: every match has so many bytes of a class in a row.  Digits beyond
+#: ASCII, which \d takes too, are more than one byte each and count as of the class of capitals.
+_RUNS = {"discord_token": ("alnum", 24), "credit_card": ("digits", 13), "iban": ("capitals", 15), "crypto_private_key": ("alnum", 51)}
+_DIGITS, _CAPITALS = frozenset(b"0123456789"), frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_CLASSES = {"alnum": _DIGITS | _CAPITALS | {x + 32 for x in _CAPITALS}, "digits": _DIGITS, "capitals": _DIGITS | _CAPITALS | frozenset(range(128, 256))}
+_RUN_TABLES = {n: bytes(97 if i in own else 32 for i in range(256)) for n, own in _CLASSES.items()}
 
 
 @cache
-def _compiled() -> list[tuple[re.Pattern, bool, tuple[str, ...], bytes | None, int, str]]:
-    return [(re.compile(p.regex, re.I if p.ignore_case else 0), p.ignore_case, p.literals, b"a" * _RUNS[p.name] if p.name in _RUNS else None, i, p.name) for i, p in enumerate(C.PATTERNS)]
+def _compiled() -> list[tuple[re.Pattern, bool, tuple[bytes, ...], tuple[str, bytes] | None, int, str]]:
+    runs = {n: (kind, b"a" * size) for n, (kind, size) in _RUNS.items()}
+    return [(re.compile(p.regex, re.I if p.ignore_case else 0), p.ignore_case, tuple(x.encode() for x in p.literals), runs.get(p.name), i, p.name) for i, p in enumerate(C.PATTERNS)]
 
 
-def _lower(text: str) -> str:
-    return (text if text.isascii() else text.translate(_ODD)).lower()
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _lower(data: bytes) -> bytes:
+    """Without the case of letters: literals are of ASCII."""
+    if not data.isascii():
+        for odd, plain in _ODD:
+            data = data.replace(odd, plain)
+    return data.lower()
 
 
 class Gates:
-    """The patterns that can match in any of some texts: most are ruled out for all at once."""
+    """The patterns that can match in any of some texts: most are ruled out for all at once.  Bytes
+    are searched, as in a text beyond ASCII every letter costs a look-up otherwise."""
 
     def __init__(self, texts: list[str]):
-        whole = "\n".join(texts)
+        whole = _bytes("\n".join(texts))
         low = _lower(whole)
         self.active = []
         for regex, fold, literals, run, prio, name in _compiled():
             where = low if fold else whole
             there = tuple(x for x in literals if x in where)
-            if there or not literals:
+            if there or (not literals and not (run and run[1] not in whole.translate(_RUN_TABLES[run[0]]))):
                 self.active.append((regex, fold, there, run, prio, name))
         self.folds = any(x[1] for x in self.active)
 
     def of(self, text: str) -> Iterator[tuple[re.Pattern, int, str]]:
         """Those that can match in one of the texts."""
-        low = _lower(text) if self.folds else text
-        runs = text.encode().translate(_RUN_TABLE) if text.isascii() else None
+        data = _bytes(text)
+        low = _lower(data) if self.folds else data
         for regex, fold, literals, run, prio, name in self.active:
             if literals:
-                where = low if fold else text
+                where = low if fold else data
                 for x in literals:
                     if x in where:
                         break
                 else:
                     continue
-            elif run and runs is not None and run not in runs:
+            elif run and run[1] not in data.translate(_RUN_TABLES[run[0]]):
                 continue
             yield regex, prio, name
 
@@ -521,6 +534,16 @@ REWRITTEN_TYPE = T.StructType(
 _REWRITTEN_ARROW = pa.struct([("out_text", _TEXT), ("placeholders", pa.map_(_TEXT, _TEXT)), ("operator_counts", pa.map_(_TEXT, _INT))] + [(n, _INT) for n in _COUNTS])
 
 
+def rewritten_row(text: str, found: list[Span], kind: str | None, ops: list[str] | None, bank: Bank, key_aware: bool) -> tuple:
+    """(out_text, placeholders, operator_counts, the three high-risk counts)."""
+    mode, done = rewrite(text, found, kind, ops, bank, key_aware)
+    high = sum(x[4] in _HIGH_REWRITE for x in found)
+    dark = high if mode == "spans" and "SUPPRESS" in (ops or ()) else 0
+    n = {"SUPPRESS": dark, "ABSTRACT": len(found) - dark} if mode == "spans" else {} if mode == "none" else {mode: 1}
+    told = key_aware or mode != "CANONICALIZE"
+    return done, bank.taken, {op: x for op, x in n.items() if x}, high if told else 0, dark, high - dark if mode == "spans" else 0
+
+
 @F.arrow_udf(REWRITTEN_TYPE)
 def rewritten(text: pa.Array, spans: pa.Array, kind: pa.Array, ops: pa.Array, salt: pa.Array, key_aware: pa.Array) -> pa.Array:
     """struct<out_text, placeholders, operator_counts, high-risk counts> of a routed document."""
@@ -528,19 +551,9 @@ def rewritten(text: pa.Array, spans: pa.Array, kind: pa.Array, ops: pa.Array, sa
 
     out = []
     for part in _parts(text, spans, kind, ops, salt, key_aware):
-        texts, banks, counts, highs = [], [], [], []
-        for t, found, k, o, s, aware in zip(part[0].to_pylist(), span_lists(part[1]), *(x.to_pylist() for x in part[2:]), strict=True):
-            bank = Bank(s, name)
-            mode, done = rewrite(t or "", found, k, o, bank, aware)
-            high = sum(x[4] in _HIGH_REWRITE for x in found)
-            dark = high if mode == "spans" and "SUPPRESS" in (o or ()) else 0
-            n = {"SUPPRESS": dark, "ABSTRACT": len(found) - dark} if mode == "spans" else {} if mode == "none" else {mode: 1}
-            texts.append(done)
-            banks.append(bank.taken)
-            counts.append({op: x for op, x in n.items() if x})
-            told = aware or mode != "CANONICALIZE"
-            highs.append((high if told else 0, dark, high - dark if mode == "spans" else 0))
-        columns = [pa.array(texts, _TEXT), _maps(banks, _TEXT), _maps(counts, _INT)] + [pa.array([x[i] for x in highs], _INT) for i in range(3)]
+        rows = [rewritten_row(t or "", found, k, o, Bank(s, name), aware) for t, found, k, o, s, aware in zip(part[0].to_pylist(), span_lists(part[1]), *(x.to_pylist() for x in part[2:]), strict=True)]
+        texts, banks, counts, *highs = zip(*rows, strict=True)
+        columns = [pa.array(texts, _TEXT), _maps(banks, _TEXT), _maps(counts, _INT)] + [pa.array(x, _INT) for x in highs]
         out.append(pa.StructArray.from_arrays(columns, REWRITTEN_TYPE.names))
     return _joined(out, _REWRITTEN_ARROW)
 
@@ -617,3 +630,65 @@ def scores(text: pa.Array, out: pa.Array, spans: pa.Array, ops: pa.Array, suppre
             rows.append(measures(t or "", o, found, disjoint(find(o, gates)) if o else [], _disclosure(told[0], *(x or 0 for x in told[1:]))))
         parts.append(pa.StructArray.from_arrays([pa.array(c, _REAL) for c in zip(*rows, strict=True)], METRICS))
     return _joined(parts, pa.struct([(n, _REAL) for n in METRICS]))
+
+
+# ---------------------------------------------------------------- all at once
+
+_BUILT = {
+    "artifact_kind": lambda x: pa.array(x, _TEXT),
+    "spans": span_column,
+    "operators_applied": _strings,
+    "out_text": lambda x: pa.array(x, _TEXT),
+    "placeholders": lambda x: _maps(x, _TEXT),
+    "operator_counts": lambda x: _maps(x, _INT),
+    **dict.fromkeys(_COUNTS, lambda x: pa.array(x, _INT)),
+    **dict.fromkeys(METRICS, lambda x: pa.array(x, _REAL)),
+}
+#: What ``handling`` can give of a text.
+HANDLED = {
+    "artifact_kind": T.StringType(),
+    "spans": SPAN_TYPE,
+    "operators_applied": T.ArrayType(T.StringType()),
+    **{f.name: f.dataType for f in REWRITTEN_TYPE},
+    **{f.name: f.dataType for f in SCORE_TYPE},
+}
+
+
+def handled(text: pa.Array, salt: pa.Array, routes: dict[str, list[str]], fields: tuple[str, ...], kinds: frozenset[str] | None, key_aware: bool) -> pa.Array:
+    """See ``handling``."""
+    from .rewrite import name
+
+    out, scoring = [], not set(fields).isdisjoint(METRICS)
+    for part in _parts(text, salt):
+        texts, rows = [t or "" for t in part[0].to_pylist()], []
+        gates = Gates(texts)
+        for t, s in zip(texts, part[1].to_pylist(), strict=True):
+            found = disjoint(find(t, gates))
+            k = kind(metadata(t, found), found)
+            if kinds is None or k in kinds:
+                ops = routes.get(k, C.ROUTES["mixed_artifact"])
+                rows.append((k, found, ops, *rewritten_row(t, found, k, ops, Bank(s, name), key_aware)))
+            else:
+                rows.append((k, [], [], None, {}, {}, None, None, None))
+        names = ["artifact_kind", "spans", "operators_applied", *REWRITTEN_TYPE.names]
+        columns = dict(zip(names, zip(*rows, strict=True), strict=True))
+        if scoring:
+            gates, scored = Gates([x for x in columns["out_text"] if x]), []
+            for t, (_, found, ops, o, _, counts, *highs) in zip(texts, rows, strict=True):
+                told = _disclosure(ops, counts.get("SUPPRESS", 0), counts.get("ABSTRACT", 0), *(x or 0 for x in highs))
+                scored.append(measures(t, o, found, disjoint(find(o, gates)) if o else [], told))
+            columns |= zip(METRICS, zip(*scored, strict=True), strict=True)
+        out.append(pa.StructArray.from_arrays([_BUILT[f](columns[f]) for f in fields], list(fields)))
+    return _joined(out, pa.struct([(f, _BUILT[f]([]).type) for f in fields]))
+
+
+def handling(routes: dict[str, list[str]], fields: tuple[str, ...], kinds: frozenset[str] | None = None, key_aware: bool = True) -> Callable[..., Column]:
+    """A call that detects, classifies, rewrites and, if a metric is asked for, scores a text: a task
+    then has one Python worker, and spans stay in it.  It takes a text and a salt and gives the named
+    fields of ``HANDLED``; texts of other kinds than ``kinds`` get their kind alone."""
+
+    @F.arrow_udf(T.StructType([T.StructField(f, HANDLED[f]) for f in fields]))
+    def call(text: pa.Array, salt: pa.Array) -> pa.Array:
+        return handled(text, salt, routes, fields, kinds, key_aware)
+
+    return call

@@ -62,7 +62,8 @@ def classify(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFra
     return df.withColumn("artifact_kind", once(kind(F.col("metadata"), col(spans))))
 
 
-def _routes(policy: str) -> list[tuple[str, list[str]]]:
+def table(policy: str = "routed") -> list[tuple[str, list[str]]]:
+    """(kind, operators) of a policy."""
     uniform = {"abstract_only": ["ABSTRACT"], "suppress_only": ["SUPPRESS"]}
     return [(k, own if policy not in uniform or not own else uniform[policy]) for k, own in C.ROUTES.items()]
 
@@ -73,14 +74,14 @@ def routes(spark: SparkSession, policy: str = "routed") -> DataFrame:
     ``routed`` is the full table; ``abstract_only`` and ``suppress_only`` use one operator for all
     kinds but clean text.
     """
-    return spark.createDataFrame(_routes(policy), "artifact_kind string, ops array<string>")
+    return spark.createDataFrame(table(policy), "artifact_kind string, ops array<string>")
 
 
 def ops(policy: str = "routed") -> Column:
     """The operators of artifact_kind under a policy; unknown kinds go as mixed ones."""
     names = lambda x: F.array(*[F.lit(o) for o in x]).cast("array<string>")
-    table = F.create_map(*[x for k, o in _routes(policy) for x in (F.lit(k), names(o))])
-    return F.coalesce(F.try_element_at(table, F.col("artifact_kind")), names(C.ROUTES["mixed_artifact"]))
+    by_kind = F.create_map(*[x for k, o in table(policy) for x in (F.lit(k), names(o))])
+    return F.coalesce(F.try_element_at(by_kind, F.col("artifact_kind")), names(C.ROUTES["mixed_artifact"]))
 
 
 def route(df: DataFrame, policy: str = "routed") -> DataFrame:

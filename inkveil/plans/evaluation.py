@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
+from ..functions.ship import ship
 from ..functions.text import once
-from ..operators import attack, detect, rewrite, routing, score, stats
+from ..operators import attack, batch, detect, rewrite, routing, score, stats
 
 #: A policy takes a detected, classified frame and returns the rows of ``rewrite.transform``.
 Policy = Callable[[DataFrame], DataFrame]
@@ -21,6 +22,19 @@ def prepare(df: DataFrame, text: str = "text") -> DataFrame:
     return routing.prepare(df, text)
 
 
+def handle(df: DataFrame, keep: list[str], policy: str = "routed", kinds: list[str] | None = None, text: str = "text", salt: Column | str = rewrite.DEFAULT_SALT, key_aware: bool = True) -> DataFrame:
+    """``prepare``, a routed policy and, if a metric is kept, ``score`` in one call of one Python
+    worker: adds the columns ``keep`` of what those add.  Rows of other kinds than ``kinds`` go.
+    Where other policies need the spans too, ``prepare`` and ``apply`` are for it."""
+    ship(df.sparkSession)
+    fields = tuple(dict.fromkeys([*keep, "artifact_kind"]))
+    call = batch.handling(dict(routing.table(policy)), fields, None if kinds is None else frozenset(kinds), key_aware)
+    out = df.withColumn("__done", once(call(F.col(text), F.lit(salt) if isinstance(salt, str) else salt)))
+    if kinds is not None:
+        out = out.where(F.col("__done.artifact_kind").isin(*kinds))
+    return out.select(*df.columns, *[F.col(f"__done.{f}").alias(f) for f in keep])
+
+
 class Routed:
     """The policy of ``rewrite.transform`` under a table of routes."""
 

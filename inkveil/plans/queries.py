@@ -378,10 +378,19 @@ _REPLACED = f"""WITH {PAT}, {_BOTH}, {spans_cte()}, {KINDS_CTE}, x AS (SELECT do
 _SUPPRESSING = "('secret_blob', 'mixed_artifact')"
 
 
-def both(spark, sf_dir) -> DataFrame:
-    """Documents and derived prompts, detected and classified."""
+#: Kinds whose spans are replaced one by one.
+_SPAN_KINDS = [k for k in C.ROUTES if k not in ("stack_trace", "config_blob", "filesystem_trace")]
+
+
+def both_texts(spark, sf_dir) -> DataFrame:
+    """Documents and derived prompts."""
     docs = K.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return E.prepare(K.spread(docs).unionByName(K.corpus(spark, sf_dir).select((-F.col("doc_id") - 1).alias("doc_id"), "text")))
+    return K.spread(docs, K.TEXTS_A_TASK).unionByName(K.corpus(spark, sf_dir).select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
+
+
+def both(spark, sf_dir) -> DataFrame:
+    """The same, detected and classified."""
+    return E.prepare(both_texts(spark, sf_dir))
 
 
 @query(_REPLACED.replace("{r}", "r") + " SELECT doc_id, out_text FROM o")
@@ -419,8 +428,7 @@ def routed_type_disclosure(spark, sf_dir):
     SELECT o.doc_id, count(hs.t)::INT AS high_risk_spans_checked, count(*) FILTER (contains(out_text, hs.t))::INT AS violations, round(coalesce(count(*) FILTER (contains(out_text, hs.t)) / nullif(count(hs.t), 0)::DOUBLE, 0.0), 9) AS violation_rate, count(*) FILTER (contains(out_text, hs.t)) = 0 AS guarantee_holds
     FROM o JOIN kinds ON o.doc_id = kinds.doc_id LEFT JOIN hs ON o.doc_id = hs.doc_id WHERE artifact_kind NOT IN ('stack_trace', 'config_blob', 'filesystem_trace') GROUP BY o.doc_id""")
 def suppress_guarantee(spark, sf_dir):
-    rows = both(spark, sf_dir).where(~F.col("artifact_kind").isin("stack_trace", "config_blob", "filesystem_trace"))
-    out = stats.suppress_guarantee(E.routed("routed", salt=SALT)(rows))
+    out = stats.suppress_guarantee(E.handle(both_texts(spark, sf_dir), ["spans", "out_text"], kinds=_SPAN_KINDS, salt=SALT))
     return out.select("doc_id", "high_risk_spans_checked", "violations", F.round("violation_rate", 9).alias("violation_rate"), "guarantee_holds")
 
 
