@@ -400,8 +400,7 @@ def abstracted_texts(spark, sf_dir):
 
 @query(_REPLACED.replace("{r}", f"CASE WHEN hr_rewrite AND artifact_kind IN {_SUPPRESSING} THEN '<SUPPRESSED:' || label || '>' ELSE r END") + " SELECT o.doc_id, artifact_kind, out_text FROM o JOIN kinds ON o.doc_id = kinds.doc_id WHERE artifact_kind NOT IN ('stack_trace', 'config_blob', 'filesystem_trace')")
 def routed_texts(spark, sf_dir):
-    rows = both(spark, sf_dir).where(~F.col("artifact_kind").isin("stack_trace", "config_blob", "filesystem_trace"))
-    return E.routed("routed", salt=SALT)(rows).select("doc_id", "artifact_kind", "out_text")
+    return E.handle(both_texts(spark, sf_dir), ["artifact_kind", "out_text"], kinds=_SPAN_KINDS, salt=SALT).drop("text")
 
 
 _COUNTED = f"""WITH {PAT}, {_BOTH}, {spans_cte()}, {KINDS_CTE}, x AS (SELECT doc_id, unnest(k) AS x FROM kept),
