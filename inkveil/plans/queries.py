@@ -323,8 +323,7 @@ def routed_transform(spark, sf_dir):
 
 def _part(kind: str):
     def run(spark, sf_dir):
-        rows = prepared(spark, sf_dir).where(F.col("artifact_kind") == kind)
-        return E.routed("routed", salt=SALT)(rows).select("doc_id", "out_text")
+        return E.handle(K.corpus(spark, sf_dir), ["out_text"], kinds=[kind], salt=SALT).drop("text")
 
     return run
 
