@@ -411,7 +411,7 @@ _COUNTED = f"""WITH {PAT}, {_BOTH}, {spans_cte()}, {KINDS_CTE}, x AS (SELECT doc
 @query(_COUNTED + """ SELECT doc_id, high::INT AS high_risk_span_count, suppressed::INT AS high_risk_suppress_count, high_abstracted::INT AS high_risk_abstract_count,
     array_to_string(list_filter([CASE artifact_kind WHEN 'stack_trace' THEN 'SUMMARIZE=1' WHEN 'config_blob' THEN 'CANONICALIZE=1' WHEN 'filesystem_trace' THEN 'GENERALIZE=1' END, CASE WHEN suppressed > 0 THEN 'SUPPRESS=' || suppressed END, CASE WHEN abstracted > 0 THEN 'ABSTRACT=' || abstracted END], lambda x: x IS NOT NULL), ',') AS operator_counts FROM d""")
 def operator_counts(spark, sf_dir):
-    rows = E.routed("routed", salt=SALT)(both(spark, sf_dir))
+    rows = E.handle(both_texts(spark, sf_dir), ["high_risk_span_count", "high_risk_suppress_count", "high_risk_abstract_count", "operator_counts"], salt=SALT)
     shown = F.array_join(F.transform(F.map_entries("operator_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return rows.select("doc_id", "high_risk_span_count", "high_risk_suppress_count", "high_risk_abstract_count", shown.alias("operator_counts"))
 
