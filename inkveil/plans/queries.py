@@ -394,7 +394,7 @@ def both(spark, sf_dir) -> DataFrame:
 
 @query(_REPLACED.replace("{r}", "r") + " SELECT doc_id, out_text FROM o")
 def abstracted_texts(spark, sf_dir):
-    return E.routed("abstract_only", salt=SALT)(both(spark, sf_dir)).select("doc_id", "out_text")
+    return E.handle(both_texts(spark, sf_dir), ["out_text"], "abstract_only", salt=SALT).drop("text")
 
 
 @query(_REPLACED.replace("{r}", f"CASE WHEN hr_rewrite AND artifact_kind IN {_SUPPRESSING} THEN '<SUPPRESSED:' || label || '>' ELSE r END") + " SELECT o.doc_id, artifact_kind, out_text FROM o JOIN kinds ON o.doc_id = kinds.doc_id WHERE artifact_kind NOT IN ('stack_trace', 'config_blob', 'filesystem_trace')")
