@@ -387,11 +387,6 @@ def both_texts(spark, sf_dir) -> DataFrame:
     return K.spread(docs, K.TEXTS_A_TASK).unionByName(K.corpus(spark, sf_dir).select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
 
 
-def both(spark, sf_dir) -> DataFrame:
-    """The same, detected and classified."""
-    return E.prepare(both_texts(spark, sf_dir))
-
-
 @query(_REPLACED.replace("{r}", "r") + " SELECT doc_id, out_text FROM o")
 def abstracted_texts(spark, sf_dir):
     return E.handle(both_texts(spark, sf_dir), ["out_text"], "abstract_only", salt=SALT).drop("text")
@@ -418,7 +413,7 @@ def operator_counts(spark, sf_dir):
 
 @query(_COUNTED + " SELECT doc_id, round(CASE WHEN high > 0 THEN (0.3 * suppressed + 0.7 * high_abstracted) / high WHEN suppressed + abstracted > 0 THEN (0.3 * suppressed + 0.7 * abstracted) / (suppressed + abstracted) ELSE 0 END, 9)::DOUBLE AS type_disclosure_rate FROM d")
 def routed_type_disclosure(spark, sf_dir):
-    rows = score.score(E.routed("routed", salt=SALT)(both(spark, sf_dir)))
+    rows = E.handle(both_texts(spark, sf_dir), ["type_disclosure_rate"], salt=SALT)
     return rows.select("doc_id", F.round("type_disclosure_rate", 9).alias("type_disclosure_rate"))
 
 
