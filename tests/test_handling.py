@@ -13,7 +13,7 @@ from inkveil.plans import evaluation as E
 from inkveil.plans import queries as Q
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ONE_CALL = ["suppress_guarantee", "routed_texts", "suppress_secrets", "generalize_paths", "canonicalize_keys", "summarize_traces", "operator_counts", "abstracted_texts", "routed_type_disclosure"]
+ONE_CALL = ["suppress_guarantee", "routed_texts", "suppress_secrets", "generalize_paths", "canonicalize_keys", "summarize_traces", "operator_counts", "abstracted_texts", "routed_type_disclosure", "routed_transform"]
 
 
 def plan(df) -> str:
